@@ -78,12 +78,13 @@ def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
+def words(texts: pa.Array, lower: bool = False, spaces: bytes | None = None) -> Words:
+    """Runs of bytes between spaces, or between the bytes ``spaces``."""
     offsets, data = buffers(texts)
     if not len(data):
         none = np.empty(0, np.int64)
         return Words(data, none, none, none.astype(np.uint64), np.zeros(len(texts) + 1, np.int64))
-    inside = ~_SPACE[data]
+    inside = ~_SPACE[data] if spaces is None else ~np.isin(np.arange(256), list(spaces))[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     begin = inside.copy()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import attach
-from . import mixing, packing, repair, secrets, urls
+from . import jaccard, media, mixing, packing, quality, repair, secrets, substring, topk, urls
+from ._scratch import written
 
 END_ID = 2
 CAPACITY = 1024
@@ -37,6 +39,29 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY, END_ID)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(_table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_table(spark, sf_dir, "documents"), 35)
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.features(written(media.encode(_table(spark, sf_dir, "documents"), 576), "media"))
+    prints = F.sha2(F.to_json(F.struct("codes", "times")), 256)
+    feature = F.concat_ws(":", F.col("n_frames").cast("string"), F.size("codes").cast("string"), prints)
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), 20, 64.0, 20)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), 0.3)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +78,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), RULES, LISTED)
 
 
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 OP8_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -102,8 +138,8 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op7_secret_scan, op8_source_mixing, op9_repair_shards, op10_url_filter)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_substring_dedup, op4_media_columns, op5_bit_sliced_top_k, op6_quality_classifier, op7_secret_scan, op8_source_mixing, op9_repair_shards, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"op5_bit_sliced_top_k": OP5_SQL, "op8_source_mixing": OP8_SQL, "op10_url_filter": OP10_SQL}
