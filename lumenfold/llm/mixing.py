@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
     return rows.select("source", "source_size", F.when(capped, F.col("top")).otherwise(F.col("held") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: str = "", keep: tuple[str, ...] = (), keep_source: bool = False) -> DataFrame:
     """Each document with the words that the mix takes of it; ``keep`` names columns to carry."""
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), *keep)
@@ -72,4 +72,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target")).cast("long") - epochs * F.col("source_size")
     more = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - (F.col("before") + F.col("own"))))
-    return joined.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"), *keep)
+    taken = (epochs * F.col("size") + more).cast("long").alias("taken")
+    return joined.select("doc_id", "size", "source_size", "target", taken, *keep, *(["source"] if keep_source else []))
