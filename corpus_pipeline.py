@@ -57,7 +57,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs, (5, 2, 1), 1.0, 3.0, keep=("text", "lang", "n_chars"), keep_source=True)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
-    head = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("rest").cast("string"), F.lit("}")), F.lit(0))
+    # the words and what stands before each, up to the cut
+    n = F.col("rest")
+    found, before = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)), F.split("text", mixing.WORD, -1)
+    lengths = F.zip_with(F.slice(before, F.lit(1), n), F.slice(found, F.lit(1), n), lambda g, w: F.length(g) + F.length(w))
+    head = F.substring(F.col("text"), F.lit(1), F.aggregate(lengths, F.lit(0), lambda x, y: x + y))
     parts = mixed.select("*", whole.alias("whole"), rest.alias("rest"))
     repeated = parts.where("whole > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("whole")))).select(*COLUMNS)
     cut = parts.where("rest > 0").withColumn("text", head).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
