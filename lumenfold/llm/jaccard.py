@@ -11,10 +11,11 @@ any two similar documents meet at one.
 
 Equal sets are one class, of which the least id takes part. First every document of a fragment is
 compared to the least of it, and what is similar is joined into components; then all remaining
-pairs of a fragment that lie in different components are compared. Before, counts of 32 coarse
-fragments give a lower bound of the difference; afterwards, n-grams of candidate pairs are counted
-exactly: the overlaps of each fragment apart, then their sum. No link between components is lost
-and pairs inside a component aren't formed again.
+pairs of a fragment that lie in different components are compared. Before, a sketch gives a lower
+bound of the difference: of the n-grams in each of 1024 cells of the order it holds whether their
+number is odd, and every n-gram in which two sets differ changes one cell. Afterwards, n-grams of
+candidate pairs are counted exactly: the overlaps of each fragment apart, then their sum. No link
+between components is lost and pairs inside a component aren't formed again.
 
 Defined results: null or empty text, or one without words, has an empty set and is linked with
 nothing; a text of fewer than n words is one n-gram; rows of equal id are one document; a null id
@@ -36,7 +37,7 @@ from ._graph import components
 from ._scratch import drop, written, written_path
 from ._words import mix, rolling, slices, words
 
-COARSE = 32
+SKETCH = 16  # words of 64 cells
 EXACT = 4  # fragments in which overlaps of candidate pairs are counted
 BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond it the join shuffles
 
@@ -96,13 +97,14 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for b in batches:
             names, at = b.column(0), 0
             for lo, hi in slices(b.column(1)):
-                size, d1, d2, keys, counts = [], [], [], [], []
+                size, d1, d2, keys, sketch = [], [], [], [], []
                 for s in sets(b.column(1).slice(lo, hi - lo), n):
                     size.append(len(s))
                     d1.append(np.add.reduce(mix(s + np.uint64(1))) if len(s) else np.uint64(0))
                     d2.append(np.add.reduce(mix(s ^ np.uint64(0xA0761D6478BD642F))) if len(s) else np.uint64(0))
                     keys.append(fragment_keys(s, num, den).view(np.int64) if len(s) else np.empty(0, np.int64))
-                    counts.append(np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=COARSE), 30_000).astype(np.int16))
+                    odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=SKETCH * 64) & 1
+                    sketch.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
                 cuts = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
                 yield pa.record_batch(
                     [
@@ -111,13 +113,13 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         pa.array(np.array(d1, np.uint64).view(np.int64)),
                         pa.array(np.array(d2, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(keys))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * COARSE), pa.array(np.concatenate(counts))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(sketch))),
                     ],
-                    ["doc_id", "n", "d1", "d2", "keys", "counts"],
+                    ["doc_id", "n", "d1", "d2", "keys", "sketch"],
                 )
                 at = hi
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<bigint>, counts array<smallint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<bigint>, sketch array<bigint>")
 
 
 def exploded_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -172,18 +174,18 @@ def join_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     shared = written(rows.where("leader <> doc_id OR next IS NOT NULL").select("key", "doc_id", "leader"), "shared")
 
     to_rep = member.where("rep IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "rep").distinct()
-    counts = sig.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), F.col("n").alias("n"), "counts")
+    sketches = sig.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "n", "sketch")
 
     def close(a: str, b: str):
-        """Sizes and coarse counts allow the pair."""
-        apart = F.aggregate(F.zip_with(F.col(f"{a}.counts"), F.col(f"{b}.counts"), lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+        """Sizes and sketches allow the pair."""
+        differ = [F.bit_count(F.get(f"{a}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(i)))) for i in range(SKETCH)]
         total = F.col(f"{a}.n") + F.col(f"{b}.n")
-        return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) * (den + num) <= total * (den - num)) & (apart * (den + num) <= total * (den - num))
+        return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) * (den + num) <= total * (den - num)) & (sum(differ[1:], differ[0]) * (den + num) <= total * (den - num))
 
     stars = shared.where("leader <> doc_id").select("leader", "doc_id").distinct()
     stars = stars.join(to_rep.select(F.col("doc_id").alias("leader"), F.col("rep").alias("x")), "leader").join(to_rep.withColumnRenamed("rep", "y"), "doc_id")
     stars = stars.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    stars = stars.join(counts.alias("p"), F.col("a") == F.col("p.rep")).join(counts.alias("q"), F.col("b") == F.col("q.rep")).where(close("p", "q"))
+    stars = stars.join(sketches.alias("p"), F.col("a") == F.col("p.rep")).join(sketches.alias("q"), F.col("b") == F.col("q.rep")).where(close("p", "q"))
     stars = written(stars.select("a", "b").distinct(), "stars")
     # rows of one id and different sets are one document
     same = to_rep.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
@@ -193,7 +195,7 @@ def join_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     in_rep = shared.select("key", "doc_id").join(to_rep, "doc_id").select("key", "rep")
     placed = in_rep.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_rows = written(placed.join(mixed, "key", "left_semi").distinct().join(counts, "rep"), "open")
+    open_rows = written(placed.join(mixed, "key", "left_semi").distinct().join(sketches, "rep"), "open")
     p, q = open_rows.alias("p"), open_rows.alias("q")
     more = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.c") != F.col("q.c")) & close("p", "q"))
     more = more.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
