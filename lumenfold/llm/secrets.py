@@ -75,11 +75,12 @@ def _apart(weak: Column, base: Column) -> Column:
     return F.filter(weak, lambda w: ~F.exists(base, lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
 
 
-def spans_of(docs: DataFrame, reach: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, the columns in ``keep``, arrays ``base`` and ``linked`` of spans."""
+def spans_of(docs: DataFrame, reach: int = 200, keep: bool = False) -> DataFrame:
+    """``doc_id``, arrays ``base`` and ``linked`` of spans, and with ``keep`` the whole row as ``row``."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
     text = F.coalesce(F.col("text"), F.lit(""))
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_VALUE
-    rows = docs.select("doc_id", *[c for c in keep if c != "doc_id"], text.alias("_text"))
+    rows = docs.select("doc_id", *row, text.alias("_text"))
     rows = rows.select("*", places(F.col("_text"), ASSIGN, 0, value).alias("_a"), places(F.col("_text"), ACCESS_LONG, 1).alias("_i"), places(F.col("_text"), HEX_LONG, 2).alias("_h"))
     rows = rows.withColumn("base", F.array_sort(F.concat("_a", "_i", "_h")))
     rows = rows.select("*", *[places(F.col("_text"), p, k).alias(n) for k, (n, p) in enumerate((("_wi", IDENTIFIER), ("_ws", STRONG_STRING), ("_we", ENDPOINT)), 3)])
@@ -92,7 +93,7 @@ def spans_of(docs: DataFrame, reach: int = 200, keep: tuple[str, ...] = ()) -> D
         F.filter("we", lambda w: _in_scope(w, F.col("_ids"), reach) & _in_scope(w, F.col("_secrets"), reach)),
     )
     rows = rows.withColumn("linked", F.array_sort(linked))
-    return rows.select("doc_id", *[c for c in keep if c != "doc_id"], "_a", "_i", "_h", "base", "linked")
+    return rows.select("doc_id", *(["row"] if keep else []), "_a", "_i", "_h", "base", "linked")
 
 
 def joined(spans: Column) -> Column:
@@ -122,8 +123,7 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", reach: int = 200) -> DataFrame:
     """``docs`` with every base and linked span of ``text`` replaced by ``mask``; other columns stay."""
-    names = tuple(docs.columns)
-    rows = spans_of(docs, reach, keep=names)
+    rows = spans_of(docs, reach, keep=True)
     all_spans = by_place(F.concat("base", "linked"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
@@ -132,9 +132,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", reach: int = 200) -> DataFra
         # a span that begins inside the one before only extends it
         lambda acc, x: F.struct(
             F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
+            F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("row.text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])),
+        lambda acc: F.concat(acc["out"], F.substring(F.col("row.text"), acc["at"] + 1, F.length("row.text") - acc["at"])),
     )
-    new = F.when(F.size(F.concat("base", "linked")) > 0, cut).otherwise(F.col("text"))
-    return rows.withColumn("text", new).select(*names)
+    new = F.when(F.size(F.concat("base", "linked")) > 0, cut).otherwise(F.col("row.text"))
+    return rows.select(*[new.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
