@@ -219,11 +219,23 @@ sized AS (SELECT doc_id, pages, samples, actual + {FIXED} + {EACH} * pages AS ac
   floor(round(pixels * CASE WHEN samples < 4 THEN most ELSE q3 END, 3))::BIGINT + {FIXED} + {EACH} * pages AS hi FROM totals JOIN stats USING (doc_id))"""
 
 
+#: The published comparison: F1, precision, recall and distortion to four places, coded bytes exactly.
+GOLDEN = """SELECT run_id, 12::BIGINT AS page_count, macro_f1::DOUBLE AS macro_f1, micro_f1::DOUBLE AS micro_f1, mean_precision::DOUBLE AS mean_precision, mean_recall::DOUBLE AS mean_recall,
+  mean_drd::DOUBLE AS mean_drd, 0.0::DOUBLE AS median_drd, max_drd::DOUBLE AS max_drd, perfect::BIGINT AS perfect_psnr_page_count, bytes::BIGINT AS encoded_bytes, per_mp::DOUBLE AS bytes_per_megapixel
+FROM (VALUES ('otsu-300', 0.9949, 0.9946, 0.9967, 0.9933, 0.1385, 1.1038, 10, 11568, 30125.0),
+  ('sauvola-300-default', 0.9934, 0.9927, 0.9884, 0.9988, 0.2260, 1.6079, 10, 11551, 30080.7),
+  ('manual-300-128', 0.9115, 0.9479, 0.9133, 0.9099, 1.5559, 17.0096, 9, 10989, 28617.2))
+  g(run_id, macro_f1, micro_f1, mean_precision, mean_recall, mean_drd, max_drd, perfect, bytes, per_mp)"""
+GOLDEN_ROIS = "SELECT run_id, tag, n::BIGINT AS roi_count, 1.0::DOUBLE AS macro_f1, 0.0::DOUBLE AS mean_drd FROM (VALUES ('otsu-300'), ('sauvola-300-default'), ('manual-300-128')) r(run_id), (VALUES ('diacritic', 63), ('apparatus', 9)) t(tag, n)"
+
+
 def oracle_sql() -> dict[str, str]:
     px = lambda c, d: f"greatest(1, round({c} / 72.0 * {d})::INTEGER)"
     sizes = ", ".join(f"CASE WHEN w > 0 AND h > 0 AND {px('w', d)}::BIGINT * {px('h', d)} <= 400000000 THEN {px(c, d)} END AS {name}_{d}" for c, name in (("w", "width"), ("h", "height")) for d in (300, 400, 600))
     turn = lambda k: f"CASE WHEN ((((p_size - 25) * {k}) % 360) + 360) % 360 IN (0, 90, 180, 270) THEN ((((p_size - 25) * {k}) % 360) + 360) % 360 END"
     return {
+        "benchmark_golden": GOLDEN,
+        "golden_rois": GOLDEN_ROIS,
         "page_pixel_size": f"SELECT p_partkey, {sizes} FROM (SELECT p_partkey, p_size * 20.0::DOUBLE AS w, p_retailprice / 2.0::DOUBLE AS h FROM part)",
         "rotation_normalize": f"SELECT p_partkey, {turn(90)} AS quarter, {turn(45)} AS eighth FROM part",
         "page_selection": f"WITH {PM} SELECT doc_id, page_index, ccitt_bytes FROM pm WHERE page_index IN (0, 2, 4, 5)",
