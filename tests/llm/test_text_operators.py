@@ -33,8 +33,11 @@ def brute_components(rows, n, num, den):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
-def test_components(make_docs, n, num):
+@pytest.mark.parametrize(("n", "num", "tiled"), [(3, 90, False), (5, 80, True)])
+def test_components(make_docs, monkeypatch, n, num, tiled):
+    if tiled:  # blocks of more than two documents are cut into parts of about five
+        monkeypatch.setattr(jaccard, "SMALL", 2)
+        monkeypatch.setattr(jaccard, "TILE", 5)
     r = random.Random(3)
     base = [[f"w{r.randint(0, 300)}" for _ in range(r.randint(1, 110))] for _ in range(12)]
     rows = []
