@@ -8,7 +8,8 @@ that occurs again are then hashed whole and counted; a window without such an an
 
 Texts that are equal form a class: all of its words go (if there are enough for a window), and
 only the class's least id takes part in the search. Occurrences of an anchor or window are read in
-sorted order with their neighbours; groups of any size stream. Hashes have 64 bits.
+sorted order with their neighbours; what a sample finds to be very common is known to occur again
+and dealt over all tasks. Hashes have 64 bits.
 
 Defined results: null or empty text, or one without words, keeps nothing and removes nothing; a
 text of fewer words than a window stays whole; a null ``doc_id`` is a document like any other; rows
@@ -38,6 +39,7 @@ COVERS = {
     31: (1, 5, 11, 24, 25, 27),
 }
 BROADCAST_IDS = 1_000_000
+SAMPLE, HOT, SALTS = 64, 8, 1024  # about 500 rows of one hash are hot
 
 
 def cover(length: int) -> tuple[int, np.ndarray]:
@@ -143,11 +145,26 @@ def without(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("id", "t", "text", "starts").mapInArrow(run, "id long, t int, n_removed long, kept string")
 
 
-def _again(rows: DataFrame, *place: str) -> DataFrame:
-    """Rows whose ``h`` another place has too: in sorted order one of two neighbours is another place."""
-    w = Window.partitionBy("h").orderBy(*place)
+def _hot(rows: DataFrame, *place: str) -> DataFrame:
+    """``h`` of very common anchors or windows, from one in ``SAMPLE`` rows by a hash of the place.
+
+    What is seen twice occurs twice, so these need no search. The sample only decides which rows
+    take that way; all others are searched.
+    """
+    seen = rows.where(F.pmod(F.xxhash64(*place), F.lit(SAMPLE)) == 0).select("h", *place).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(seen.where(F.col("n") >= HOT).select("h", F.lit(True).alias("hot")), "hot")
+    return F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+
+
+def _again(rows: DataFrame, hot: DataFrame, *place: str) -> DataFrame:
+    """Rows whose ``h`` another place has too: in sorted order one of two neighbours is another place.
+
+    Rows of a hot ``h`` are known to have another place and are dealt over all tasks.
+    """
+    rows = rows.join(hot, "h", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*place), F.lit(SALTS))).otherwise(0).cast("int"))
+    w = Window.partitionBy("h", "salt").orderBy(*place)
     here, before, after = F.struct(*place), F.lag(F.struct(*place)).over(w), F.lead(F.struct(*place)).over(w)
-    return rows.select("*", here.alias("here"), before.alias("before"), after.alias("after")).where("before <> here OR after <> here").drop("here", "before", "after")
+    return rows.select("*", here.alias("here"), before.alias("before"), after.alias("after")).where("hot OR before <> here OR after <> here").drop("here", "before", "after", "hot", "salt")
 
 
 def dedup(docs: DataFrame, length: int = 35, keep_text: bool = False) -> DataFrame:
@@ -162,7 +179,7 @@ def dedup(docs: DataFrame, length: int = 35, keep_text: bool = False) -> DataFra
     classes = found.groupBy("th", "d1").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "t")).alias("rep"))
     classes = written(classes.select("th", "d1", "copies", F.col("rep.id").alias("id"), F.col("rep.t").alias("t")), "classes")
     places = found.select("id", "t", F.posexplode("anchors").alias("k", "h"))
-    flagged = _again(places, "id", "t", "k").groupBy("id", "t").agg(F.collect_set("k").alias("ks"))
+    flagged = _again(places, _hot(places, "id", "t", "k"), "id", "t", "k").groupBy("id", "t").agg(F.collect_set("k").alias("ks"))
     flags = written(flagged.join(classes.select("id", "t", "copies"), ["id", "t"]), "flags")
     base = written(found.drop("anchors"), "words")
     drop(spark, path)
@@ -171,9 +188,9 @@ def dedup(docs: DataFrame, length: int = 35, keep_text: bool = False) -> DataFra
     if flags.count() <= BROADCAST_IDS:
         named = named.join(F.broadcast(flags.select("id", "t")), ["id", "t"], "left_semi")
     # equal rows are copies: one of them is enough
-    texts = written(named.join(flags, ["id", "t"]).where("copies = 1 OR text IS NOT NULL"), "texts")
+    texts = written(named.join(flags, ["id", "t"]), "texts")
     windows = candidate_windows(texts.where("copies = 1").unionByName(texts.where("copies > 1").dropDuplicates(["id", "t"])), length)
-    starts = _again(windows, "id", "t", "at").groupBy("id", "t").agg(F.collect_list("at").alias("starts"))
+    starts = _again(windows, _hot(windows, "id", "t", "at"), "id", "t", "at").groupBy("id", "t").agg(F.collect_list("at").alias("starts"))
     cut = without(texts.where("copies = 1").join(starts, ["id", "t"]), length)
     cut = cut.select("id", "t", F.col("n_removed").alias("gone"), F.sha2("kept", 256).alias("left_sha"), *(["kept"] if keep_text else []))
 
