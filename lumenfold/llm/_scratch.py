@@ -7,6 +7,7 @@ names none and runs in local mode (tests), a temporary folder is made.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,15 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver collects garbage, which may be long after a large shuffle is done with.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:

@@ -10,10 +10,12 @@ levels with a ratio of ``t``; a document gives its fragments for its own level a
 any two similar documents meet at one.
 
 Equal sets are one class, of which the least id takes part. First every document of a fragment is
-compared to the least of it, and what is similar is joined into components; then all remaining
-pairs of a fragment that lie in different components are compared. Before, a sketch gives a lower
+compared to the least of it, and what is similar is joined into components; then the pairs of
+documents that have met in a fragment with one and the same least document, and that lie in
+different components, are compared. Before, a sketch gives a lower
 bound of the difference: of the n-grams in each of 1024 cells of the order it holds whether their
-number is odd, and every n-gram in which two sets differ changes one cell. Afterwards, n-grams of
+number is odd, and every n-gram in which two sets differ changes one cell. Pairs that remain are
+held against a second sketch, of two to four cells for each n-gram. Afterwards, n-grams of
 candidate pairs are counted exactly: the overlaps of each fragment apart, then their sum. No link
 between components is lost and pairs inside a component aren't formed again.
 
@@ -34,11 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._scratch import drop, written, written_path
+from ._scratch import drop, release, written, written_path
 from ._words import mix, rolling, slices, words
 
 SKETCH = 16  # words of 64 cells
 EXACT = 4  # fragments in which overlaps of candidate pairs are counted
+TILE = 2048  # documents of a block that a task compares with as many others
+SMALL = 16  # blocks of up to so many documents are compared by a join
 BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond it the join shuffles
 
 
@@ -92,12 +96,19 @@ def fragment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else s[:0]
 
 
+def fine_sketch(s: np.ndarray) -> np.ndarray:
+    """Odd cells of a power of two of cells; xor of its halves is the sketch of half as many."""
+    cells = 1 << max(6, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, at = b.column(0), 0
             for lo, hi in slices(b.column(1)):
-                size, d1, d2, keys, sketch = [], [], [], [], []
+                size, d1, d2, keys, sketch, fine = [], [], [], [], [], []
                 for s in sets(b.column(1).slice(lo, hi - lo), n):
                     size.append(len(s))
                     d1.append(np.add.reduce(mix(s + np.uint64(1))) if len(s) else np.uint64(0))
@@ -105,7 +116,9 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     keys.append(fragment_keys(s, num, den).view(np.int64) if len(s) else np.empty(0, np.int64))
                     odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=SKETCH * 64) & 1
                     sketch.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                    fine.append(fine_sketch(s))
                 cuts = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+                fine_cuts = np.r_[0, np.cumsum([len(k) for k in fine])].astype(np.int32)
                 yield pa.record_batch(
                     [
                         names.slice(lo, hi - lo),
@@ -114,12 +127,13 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         pa.array(np.array(d2, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(keys))),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(sketch))),
+                        pa.ListArray.from_arrays(pa.array(fine_cuts), pa.array(np.concatenate(fine))),
                     ],
-                    ["doc_id", "n", "d1", "d2", "keys", "sketch"],
+                    ["doc_id", "n", "d1", "d2", "keys", "sketch", "fine"],
                 )
                 at = hi
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<bigint>, sketch array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<bigint>, sketch array<bigint>, fine array<bigint>")
 
 
 def exploded_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -144,18 +158,88 @@ def exploded_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, frag int, grams array<bigint>")
 
 
+def fine_close(a: str, b: str, num: int, den: int):
+    """Fine sketches of rows ``a`` and ``b``, the longer folded, allow the threshold."""
+
+    def folded(long, short):
+        half = F.size(short)
+        halves = F.zip_with(F.slice(long, F.lit(1), half), F.slice(long, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(long) == 2 * half, halves).otherwise(long)
+
+    x, y = F.col(f"{a}.fine"), F.col(f"{b}.fine")
+    differ = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, u: s + F.coalesce(u, F.lit(0)))
+    return differ * (den + num) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (den - num)
+
+
+def refined(pairs: DataFrame, fines: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose fine sketches allow the threshold."""
+    rows = pairs.select("a", "b").join(fines.alias("x"), F.col("a") == F.col("x.rep")).join(fines.alias("y"), F.col("b") == F.col("y.rep"))
+    return rows.where(fine_close("x", "y", num, den)).select("a", "b").distinct()
+
+
+def tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` of large blocks that both sketches allow.
+
+    A block of ``m`` documents is cut into parts of about ``TILE``; a task compares two parts.
+    """
+    parts = F.ceil(F.col("m") / TILE).cast("int")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("leader", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "c", "n", "sketch", "fine")
+
+    def run(table: pa.Table) -> pa.Table:
+        part, rep, c, n = (table.column(k).to_numpy() for k in ("part", "rep", "c", "n"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+        lists = table.column("fine").combine_chunks()
+        fine = lists.flatten().to_numpy().view(np.uint64)
+        lens = lists.value_lengths().to_numpy().astype(np.int64)
+        at = np.cumsum(lens) - lens
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
+        out = []
+        for k in range(0, len(left), 64):
+            i = left[k : k + 64]
+            total = n[i][:, None] + n[right][None]
+            allowed = total * (den - num)
+            ok = (c[i][:, None] != c[right][None]) & (np.abs(n[i][:, None] - n[right][None]) * (den + num) <= allowed)
+            if x == y:
+                ok &= rep[i][:, None] < rep[right][None]
+            u, v = np.nonzero(ok)
+            for s in range(0, len(u), 1 << 16):
+                iu, jv = i[u[s : s + (1 << 16)]], right[v[s : s + (1 << 16)]]
+                room = (n[iu] + n[jv]) * (den - num)
+                keep = np.bitwise_count(sketch[iu] ^ sketch[jv]).sum(1, dtype=np.int64) * (den + num) <= room
+                iu, jv, room = iu[keep], jv[keep], room[keep]
+                for li, lj in set(zip(lens[iu].tolist(), lens[jv].tolist(), strict=True)):
+                    own = np.flatnonzero((lens[iu] == li) & (lens[jv] == lj))
+                    for o in range(0, len(own), 4096):
+                        w = own[o : o + 4096]
+                        f, g = fine[at[iu[w]][:, None] + np.arange(li)], fine[at[jv[w]][:, None] + np.arange(lj)]
+                        f = f[:, :lj] ^ f[:, lj:] if li == 2 * lj else f
+                        g = g[:, :li] ^ g[:, li:] if lj == 2 * li else g
+                        good = w[np.bitwise_count(f ^ g).sum(1, dtype=np.int64) * (den + num) <= room[w]]
+                        out.append(np.stack([rep[iu[good]], rep[jv[good]]], 1))
+        found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        return pa.table({"a": found.min(1), "b": found.max(1)} if len(found) else {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    return dealt.groupBy("leader", "x", "y").applyInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)`` whose exact overlap, summed over the fragments, reaches the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     own = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    grams = written(exploded_sets(docs.join(own, "doc_id", "left_semi"), n), "grams")
+    path = written_path(exploded_sets(docs.join(own, "doc_id", "left_semi"), n), "grams")
+    grams = docs.sparkSession.read.parquet(path)
     left = grams.select(F.col("id").alias("a"), "frag", F.col("grams").alias("ga"))
     right = grams.select(F.col("id").alias("b"), "frag", F.col("grams").alias("gb"))
     partial = pairs.select("a", "b").join(left, "a").join(right, ["b", "frag"]).select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("m"))
     sums = partial.groupBy("a", "b").agg(F.sum("m").alias("both"))
     na, nb = sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
     full = sums.join(na, "a").join(nb, "b")
-    return full.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct()
+    similar = full.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both")))
+    found = written(similar.select("a", "b").distinct(), "verified")
+    drop(docs.sparkSession, path)
+    return found
 
 
 def join_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -171,10 +255,16 @@ def join_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     key = Window.partitionBy("key").orderBy("doc_id")
     rows = sig.where("doc_id IS NOT NULL AND n > 0").select("doc_id", F.explode("keys").alias("key"))
     rows = rows.select("doc_id", "key", F.first("doc_id").over(key).alias("leader"), F.lead("doc_id").over(key).alias("next"))
-    shared = written(rows.where("leader <> doc_id OR next IS NOT NULL").select("key", "doc_id", "leader"), "shared")
+    shared = written(rows.where("leader <> doc_id OR next IS NOT NULL").select("leader", "doc_id").distinct(), "shared")
+
+    # the fragments' keys aren't needed any more; sketches of classes are small beside them
+    own = sig.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "n", "sketch", "fine")
+    both = written(own.join(reps.select("rep"), "rep", "left_semi"), "sketches")
+    sketches, fines = both.select("rep", "n", "sketch"), both.select("rep", "n", "fine")
+    drop(spark, sig_path)
+    release(spark)
 
     to_rep = member.where("rep IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "rep").distinct()
-    sketches = sig.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "n", "sketch")
 
     def close(a: str, b: str):
         """Sizes and sketches allow the pair."""
@@ -182,28 +272,33 @@ def join_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         total = F.col(f"{a}.n") + F.col(f"{b}.n")
         return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) * (den + num) <= total * (den - num)) & (sum(differ[1:], differ[0]) * (den + num) <= total * (den - num))
 
-    stars = shared.where("leader <> doc_id").select("leader", "doc_id").distinct()
+    stars = shared.where("leader <> doc_id")
     stars = stars.join(to_rep.select(F.col("doc_id").alias("leader"), F.col("rep").alias("x")), "leader").join(to_rep.withColumnRenamed("rep", "y"), "doc_id")
     stars = stars.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     stars = stars.join(sketches.alias("p"), F.col("a") == F.col("p.rep")).join(sketches.alias("q"), F.col("b") == F.col("q.rep")).where(close("p", "q"))
-    stars = written(stars.select("a", "b").distinct(), "stars")
+    stars = written(refined(stars.select("a", "b").distinct(), fines, num, den), "stars")
     # rows of one id and different sets are one document
     same = to_rep.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     links = written(verified(stars, docs, reps, n, num, den).unionByName(same), "links")
     found = components(links)
 
-    in_rep = shared.select("key", "doc_id").join(to_rep, "doc_id").select("key", "rep")
-    placed = in_rep.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_rows = written(placed.join(mixed, "key", "left_semi").distinct().join(sketches, "rep"), "open")
-    p, q = open_rows.alias("p"), open_rows.alias("q")
-    more = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.c") != F.col("q.c")) & close("p", "q"))
-    more = more.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(more, "pairs")
+    # documents of one fragment have its least document in common: blocks by that one hold all candidates, once for each
+    blocks = shared.join(to_rep, "doc_id").select("leader", "rep").distinct()
+    placed = blocks.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", F.coalesce("component", "rep").alias("c"))
+    placed = written(placed, "placed")
+    release(spark)
+    sizes = placed.groupBy("leader").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+    open_rows = placed.join(sizes.select("leader", "m"), "leader").join(both, "rep")
+    few = open_rows.where(F.col("m") <= SMALL)
+    p, q = few.alias("p"), few.alias("q")
+    near = (F.col("p.leader") == F.col("q.leader")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.c") != F.col("q.c")) & close("p", "q") & fine_close("p", "q", num, den)
+    more = p.join(q, near).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
+    more = more.unionByName(tile_pairs(open_rows.where(F.col("m") > SMALL), num, den))
+    more = written(more.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    release(spark)
     if not more.isEmpty():
         links = written(links.unionByName(verified(more, docs, reps, n, num, den)), "links")
         found = components(links)
-    drop(spark, sig_path)
     return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id")
     )
