@@ -53,19 +53,26 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at a source's cut is shortened to its part."""
-    mixed = mixing.mix(docs, (5, 2, 1), 1.0, 3.0, keep=("text", "lang", "n_chars"), keep_source=True)
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
+    """Documents as often as the mix takes them; the one at a source's cut is shortened to its part.
+
+    Only sizes and hashes are sorted; texts are then repeated or cut where they are.
+    """
+    cuts = written(mixing.cut_points(docs, (5, 2, 1), 1.0, 3.0).withColumnRenamed("source", "s"), "cuts")
+    place = F.struct(mixing.mix_key().alias("key"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))
+    rows = docs.select(*COLUMNS, mixing.n_words(F.col("text")).alias("size")).join(cuts, F.col("source").eqNullSafe(F.col("s")))
+    rows = rows.where("size > 0").withColumn("at", place)
+    whole = (F.col("epochs") + F.when(F.col("at") < F.col("cut"), 1).otherwise(0)).cast("int")
+    part = F.when(F.col("at") == F.col("cut"), F.col("part")).otherwise(0).cast("int")
+    # copies 1 to `whole` are the document, copy 0 is its part
+    copies = F.concat(F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.expr("array()")), F.when(part > 0, F.array(F.lit(0))).otherwise(F.expr("array()")))
+    rows = rows.select(*COLUMNS, part.alias("words"), F.explode(copies).alias("copy"))
     # the words and what stands before each, up to the cut
-    n = F.col("rest")
+    n = F.col("words")
     found, before = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)), F.split("text", mixing.WORD, -1)
     lengths = F.zip_with(F.slice(before, F.lit(1), n), F.slice(found, F.lit(1), n), lambda g, w: F.length(g) + F.length(w))
     head = F.substring(F.col("text"), F.lit(1), F.aggregate(lengths, F.lit(0), lambda x, y: x + y))
-    parts = mixed.select("*", whole.alias("whole"), rest.alias("rest"))
-    repeated = parts.where("whole > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("whole")))).select(*COLUMNS)
-    cut = parts.where("rest > 0").withColumn("text", head).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-    return repeated.unionByName(cut)
+    rows = rows.withColumn("text", F.when(F.col("copy") == 0, head).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,10 +53,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
     return rows.select("source", "source_size", F.when(capped, F.col("top")).otherwise(F.col("held") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: str = "", keep: tuple[str, ...] = (), keep_source: bool = False) -> DataFrame:
-    """Each document with the words that the mix takes of it; ``keep`` names columns to carry."""
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), *keep)
+def mix_key(seed: str = "") -> Column:
+    """The hash that orders documents of a source."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def placed(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: str) -> DataFrame:
+    """Every document with ``start``, the words of its source before it, and its source's epochs and rest."""
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), mix_key(seed).alias("key"))
     sized = written(sized.withColumn("bucket", F.substring("key", 1, 2)), "sized")
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     goals = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, cap)
@@ -67,10 +71,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
         .select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target")
     )
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = placed.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    rows = sized.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target")).cast("long") - epochs * F.col("source_size")
-    more = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - (F.col("before") + F.col("own"))))
-    taken = (epochs * F.col("size") + more).cast("long").alias("taken")
-    return joined.select("doc_id", "size", "source_size", "target", taken, *keep, *(["source"] if keep_source else []))
+    return rows.select("doc_id", "source", "size", "key", "source_size", "target", (F.col("before") + F.col("own")).alias("start"), epochs.alias("epochs"), rest.alias("rest"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: str = "") -> DataFrame:
+    """Each document with the words that the mix takes of it."""
+    more = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("start")))
+    rows = placed(docs, weights, share, cap, seed)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + more).cast("long").alias("taken"))
+
+
+def cut_points(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: str = "") -> DataFrame:
+    """One row a source: whole epochs, and the document at which the rest ends with its part of words.
+
+    Documents before it in the order of ``(key, doc_id, size)`` are taken once more. With these rows
+    the mix of texts is a map over them.
+    """
+    at = placed(docs, weights, share, cap, seed).where("start <= rest AND rest < start + size")
+    return at.select("source", "epochs", F.struct("key", "doc_id", "size").alias("cut"), (F.col("rest") - F.col("start")).alias("part"))
