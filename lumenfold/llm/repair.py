@@ -41,43 +41,44 @@ SYMBOLS = 1 << 16
 SHARDS = "part int, shard int, first_id long, n_ids long, doc_ids array<bigint>, payload binary"
 
 
-def frequent_pairs(seq: np.ndarray, end: int, at_least: int, most: int) -> np.ndarray:
-    """Codes ``left << 16 | right`` of frequent pairs, most frequent first.
+CELLS = 1 << 18
 
-    Pairs are first counted in a table of hashes; only those in cells that hold enough are sorted
-    and counted exactly.
-    """
-    code = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-    code = code[(seq[:-1] != end) & (seq[1:] != end)]
-    cell = (code * np.uint32(2654435761)) >> np.uint32(12)
-    heavy = np.bincount(cell, minlength=1 << 20) >= at_least
-    found, n = np.unique(code[heavy[cell]], return_counts=True)
-    found, n = found[n >= at_least], n[n >= at_least]
-    return found[np.lexsort((found, -n))[:most]]
 
+def replace_frequent(seq: np.ndarray, end: int, first: int, at_least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """One round: the most frequent pairs, as codes ``left << 16 | right``, become ``first``, ``first + 1``, ...
 
-def replace_pairs(seq: np.ndarray, pairs: np.ndarray, first: int) -> np.ndarray:
-    """Replace occurrences of ``pairs[i]`` by ``first + i``; of overlapping ones every second stays."""
-    order = np.argsort(pairs)
+    Pairs are first counted in a table of hashes; those in the fullest cells, twice as many as pairs
+    are wanted, are sorted and counted exactly. Of pairs that share a cell the most frequent one is
+    taken, of overlapping occurrences every second.
+    """
     code = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-    lefts = np.zeros(SYMBOLS, bool)
-    lefts[pairs >> np.uint32(16)] = True
-    at = np.flatnonzero(lefts[seq[:-1]])
-    k = np.searchsorted(pairs[order], code[at])
-    k[k == len(pairs)] = 0
-    hit = pairs[order][k] == code[at]
-    at, k = at[hit], k[hit]
-    if not len(at):
-        return seq
+    cell = (code * np.uint32(2654435761)) >> np.uint32(14)
+    counts = np.bincount(cell, minlength=CELLS)
+    # the largest level that twice as many cells reach
+    reach = np.cumsum(np.bincount(np.minimum(counts, 1 << 16))[::-1])[::-1]
+    full = int(np.count_nonzero(reach >= 2 * most)) - 1
+    heavy = code[(counts >= max(full, at_least))[cell]]
+    heavy = heavy[(heavy >> np.uint32(16) != end) & (heavy & np.uint32(0xFFFF) != end)]
+    found, n = np.unique(heavy, return_counts=True)
+    found, n = found[n >= at_least], n[n >= at_least]
+    pairs = found[np.lexsort((found, -n))[:most]]
+    own = (pairs * np.uint32(2654435761)) >> np.uint32(14)
+    pairs = pairs[np.sort(np.unique(own, return_index=True)[1])]
+    if not len(pairs):
+        return seq, pairs
+    slot = np.full(CELLS, -1, np.int32)
+    slot[(pairs * np.uint32(2654435761)) >> np.uint32(14)] = np.arange(len(pairs))
+    k = slot[cell]
+    at = np.flatnonzero(k >= 0)
+    at = at[pairs[k[at]] == code[at]]
     new_run = np.r_[True, np.diff(at) > 1]
     run_at = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-    keep = (np.arange(len(at)) - run_at) % 2 == 0
-    at, k = at[keep], k[keep]
+    at = at[(np.arange(len(at)) - run_at) % 2 == 0]
     out = seq.copy()
-    out[at] = first + order[k]
+    out[at] = first + k[at]
     stay = np.ones(len(seq), bool)
     stay[at + 1] = False
-    return out[stay]
+    return out[stay], pairs
 
 
 def compress(docs: list[np.ndarray], vocabulary: int, rounds: int = 4, most: int = 1024, at_least: int = 32) -> bytes:
@@ -96,10 +97,9 @@ def compress(docs: list[np.ndarray], vocabulary: int, rounds: int = 4, most: int
         room = min(most, end - vocabulary - len(rules))
         if room <= 0 or len(seq) < 2:
             break
-        pairs = frequent_pairs(seq, end, at_least, room)
+        seq, pairs = replace_frequent(seq, end, vocabulary + len(rules), at_least, room)
         if not len(pairs):
             break
-        seq = replace_pairs(seq, pairs, vocabulary + len(rules))
         rules = np.r_[rules, pairs]
     left, right = (rules >> np.uint32(16)).astype(np.uint16), rules.astype(np.uint16)
     lens = rule_lengths(left, right, vocabulary)
