@@ -41,7 +41,7 @@ from ._words import mix, rolling, slices, words
 
 SKETCH = 16  # words of 64 cells
 EXACT = 4  # fragments in which overlaps of candidate pairs are counted
-TILE = 2048  # documents of a block that a task compares with as many others
+TILE = 1024  # documents of a block that a task compares with as many others
 SMALL = 16  # blocks of up to so many documents are compared by a join
 BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond it the join shuffles
 
@@ -204,15 +204,16 @@ def tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
             if x == y:
                 ok &= rep[i][:, None] < rep[right][None]
             u, v = np.nonzero(ok)
-            for s in range(0, len(u), 1 << 16):
-                iu, jv = i[u[s : s + (1 << 16)]], right[v[s : s + (1 << 16)]]
+            for s in range(0, len(u), 1 << 14):
+                iu, jv = i[u[s : s + (1 << 14)]], right[v[s : s + (1 << 14)]]
                 room = (n[iu] + n[jv]) * (den - num)
                 keep = np.bitwise_count(sketch[iu] ^ sketch[jv]).sum(1, dtype=np.int64) * (den + num) <= room
                 iu, jv, room = iu[keep], jv[keep], room[keep]
                 for li, lj in set(zip(lens[iu].tolist(), lens[jv].tolist(), strict=True)):
                     own = np.flatnonzero((lens[iu] == li) & (lens[jv] == lj))
-                    for o in range(0, len(own), 4096):
-                        w = own[o : o + 4096]
+                    step = max(1, (1 << 18) // max(li, lj))  # 2 MB of cells at a time
+                    for o in range(0, len(own), step):
+                        w = own[o : o + step]
                         f, g = fine[at[iu[w]][:, None] + np.arange(li)], fine[at[jv[w]][:, None] + np.arange(lj)]
                         f = f[:, :lj] ^ f[:, lj:] if li == 2 * lj else f
                         g = g[:, :li] ^ g[:, li:] if lj == 2 * li else g
