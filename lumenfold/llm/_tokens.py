@@ -6,8 +6,8 @@ alone give the same ids; nor does it join an ASCII letter to a sign other than t
 chunk starts at a run of ASCII white space, or at a sign after a letter, and ends before the next.
 Most chunks repeat, so each worker encodes a chunk once, keeps its ids in a flat array under two
 64-bit hashes of its bytes, and gathers the ids of whole texts from there. All of it works on
-arrays over about a megabyte of text at a time. Texts with other white space are encoded in one
-piece.
+arrays over about a megabyte of text at a time. Texts with other white space, and texts that hold an
+added token of the tokenizer (which is matched before any pre-tokenizer), are encoded in one piece.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ._words import _SPACE, _VALUES, buffers, mix, powers, slices
 
@@ -52,6 +53,7 @@ class ChunkEncoder:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # one character of a vocabulary entry is one byte
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.cap = cap
         self._reset()
 
@@ -75,10 +77,13 @@ class ChunkEncoder:
 
     def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
         offsets, data = buffers(texts)
-        odd = set((np.searchsorted(offsets, odd_spaces(data), side="right") - 1).tolist()) if len(data) else ()
         if not len(data):
             yield from (self.flat[:0] for _ in range(len(texts)))
             return
+        whole = np.zeros(len(texts), bool)  # texts that are encoded in one piece
+        whole[np.searchsorted(offsets, odd_spaces(data), side="right") - 1] = True
+        for token in self.added:
+            whole |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
         space = _SPACE[data]
         first = np.zeros(len(data) + 1, bool)
         first[offsets] = True
@@ -88,6 +93,9 @@ class ChunkEncoder:
         begin |= first[:-1]
         starts = np.flatnonzero(begin)
         ends = np.r_[starts[1:], len(data)]
+        if whole.any():
+            cut = ~np.repeat(whole, np.diff(offsets))[starts]
+            starts, ends = starts[cut], ends[cut]
         at = self._places(data, space, starts, ends)
         lens = self.ends[at + 1] - self.ends[at]
         # the ids of all chunks behind each other
@@ -95,7 +103,7 @@ class ChunkEncoder:
         ids = self.flat[np.repeat(self.ends[at] - cuts[:-1], lens) + np.arange(cuts[-1])]
         docs = cuts[np.searchsorted(starts, offsets)]
         for i, (a, b) in enumerate(zip(docs[:-1].tolist(), docs[1:].tolist(), strict=True)):
-            if i in odd:
+            if whole[i]:
                 yield np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.int32)
             else:
                 yield ids[a:b]

@@ -33,6 +33,22 @@ def test_chunks_give_the_same_ids():
         assert got.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_matched_in_text():
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}b", f"a {end} b", f"{end}{end}", f"x\n{end}\n", "a <|endoftext| > b", "<|", "endoftext|>", None, "plain text", f"{end} plain text", "plain text|> <|endoftext"]
+    for batch in (texts, [end], [f" {end}"] * 3):
+        for text, got in zip(batch, ChunkEncoder(PATH).encode(batch), strict=True):
+            assert got.tolist() == TOKENIZER.encode(text or "", add_special_tokens=False).ids
+
+
+def test_added_tokens_reach_packing_and_shards(make_docs):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "no token")]
+    got = repair.encode_documents(make_docs(rows), PATH).collect()
+    assert {(g.doc_id, g.n_tokens, g.ids_crc32) for g in got} == {(d, len(ids(t)), crc(ids(t))) for d, t in rows}
+    got = packing.pack(make_docs(rows), PATH, 256).collect()
+    assert {(g.doc_id, g.length, g.ids_crc32) for g in got} == {(d, len(ids(t)), crc(ids(t))) for d, t in rows}
+
+
 def test_plan_holds_every_length():
     r = np.random.default_rng(0)
     for n in (0, 1, 30, 5000):
