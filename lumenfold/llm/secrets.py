@@ -36,7 +36,7 @@ HEX_LONG = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 
 # weak candidates, named as they are reported
-IDENTIFIER = r"\b(?:ASIA|AIDA|AROA|AGPA|ANPA|AKIA)[A-Z0-9]{8,15}\b|\b(?i:client_?id|account(?:_?id)?|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}"
+IDENTIFIER = r"\b(?:ASIA|AIDA|AROA|AGPA|ANPA|AKIA)[A-Z0-9]{8,}+\b|\b(?i:client_?id|account(?:_?id)?|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}"
 STRONG_STRING = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])(?=[A-Za-z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/=_-])|(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])"
 ENDPOINT = r"\b(?i:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s\"'<>]{4,200}"
 
