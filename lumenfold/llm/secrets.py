@@ -10,6 +10,9 @@ around a weak candidate, and the candidate is reported only if the complementary
     secret       needs an identifier (weak or base access) in scope
     endpoint     needs both
 
+Weak candidates have a least length and no largest one: they end where their characters do. One
+that lies inside a base span is that span; one that reaches beyond is a candidate of its own.
+
 Matches and their places come from two built-in functions that walk the text alike: the matches,
 and the pieces between them; running sums of their lengths are the places, in code points. All
 of it stays in the row, so there is no shuffle and a document is the largest unit of work; the
@@ -36,9 +39,9 @@ HEX_LONG = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 
 # weak candidates, named as they are reported
-IDENTIFIER = r"\b(?:ASIA|AIDA|AROA|AGPA|ANPA|AKIA)[A-Z0-9]{8,}+\b|\b(?i:client_?id|account(?:_?id)?|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}"
-STRONG_STRING = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])(?=[A-Za-z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/=_-])|(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])"
-ENDPOINT = r"\b(?i:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s\"'<>]{4,200}"
+IDENTIFIER = r"\b(?:ASIA|AIDA|AROA|AGPA|ANPA|AKIA)[A-Z0-9]{8,}+\b|\b(?i:client_?id|account(?:_?id)?|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}+"
+STRONG_STRING = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/=_-])|(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])"
+ENDPOINT = r"\b(?i:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s\"'<>]{4,}+"
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 SPAN = "array<struct<s:int,e:int,k:int>>"
@@ -71,8 +74,8 @@ def _in_scope(span: Column, parts: Column, reach: int) -> Column:
 
 
 def _apart(weak: Column, base: Column) -> Column:
-    """Weak spans that no base span overlaps."""
-    return F.filter(weak, lambda w: ~F.exists(base, lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
+    """Weak spans that lie inside no base span."""
+    return F.filter(weak, lambda w: ~F.exists(base, lambda b: (b["s"] <= w["s"]) & (w["e"] <= b["e"])))
 
 
 def spans_of(docs: DataFrame, reach: int = 200, keep: bool = False) -> DataFrame:
