@@ -24,6 +24,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 QUALITY_CUT = 0.3
 #: Near copies share 80 of 100 of their five-word shingles.
 SHINGLE, SIMILAR, OF = 5, 80, 100
+#: Rows without an id are named from here up.
+NAMELESS = 1 << 62
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +40,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each component of near copies: the one with the component's id.
 
     Documents without a word are linked with nothing and stay; of rows that repeat one id one stays.
+    A row without an id is judged under a hash of its text, from 2^62 up, so that one with an id
+    stays before it; without a word it has no copies and stays.
     """
     attach(spark)
-    found = jaccard.join_components(docs, SHINGLE, SIMILAR, OF)
-    stays = found.where("component_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    return kept.select(*COLUMNS)
+    judged = F.col("doc_id").isNotNull() | (mixing.n_words(F.col("text")) > 0)
+    name = F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS)))
+    rows = docs.where(judged).select(*COLUMNS, name.alias("_id"))
+    found = jaccard.join_components(rows.select(F.col("_id").alias("doc_id"), "text"), SHINGLE, SIMILAR, OF)
+    # rows of one id are one document, in the component of those with words
+    ids = found.groupBy("doc_id").agg(F.min(F.when(F.col("n_shingles") > 0, F.col("component_id"))).alias("c"), F.count(F.lit(1)).alias("n"))
+    stays = written(ids.where("c IS NULL OR c = doc_id").select(F.col("doc_id").alias("_id"), "n"), "stays")
+    once = rows.join(stays.where("n = 1"), "_id", "left_semi").select(*COLUMNS)
+    # of rows that repeat an id, the least with words: an aggregate, so that no id's rows meet in one task
+    row = F.struct((mixing.n_words(F.col("text")) == 0).alias("empty"), *COLUMNS)
+    again = rows.join(stays.where("n > 1"), "_id", "left_semi").groupBy("_id").agg(F.min(row).alias("row"))
+    return once.unionByName(again.select("row.*").select(*COLUMNS)).unionByName(docs.where(~judged).select(*COLUMNS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,20 @@ SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
+def test_one_row_of_a_group_stays(spark, make_docs):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = text(1).rsplit(" ", 1)[0] + " other"
+    rows = [(1, text(0))] * 3 + [(2, text(0)), (None, text(0))]  # repeated rows, a copy with an id and one without
+    rows += [(None, text(1))] * 3 + [(None, near)]  # no id in the class
+    rows += [(3, text(2)), (3, text(3)), (3, ""), (4, text(3))]  # different texts of one id
+    rows += [(None, None), (None, ""), (None, " "), (5, ""), (5, ""), (6, None), (None, text(4)), (7, text(5))]
+    got = [(r.doc_id, r.text) for r in pipeline.drop_near_copies(spark, make_docs(rows), SF).collect()]
+    nameless = [t for i, t in got if i is None and t and t.strip()]
+    assert len(nameless) == 2 and text(4) in nameless and (text(1) in nameless or near in nameless)
+    assert Counter(x for x in got if x[0] is not None or not (x[1] or "").strip()) == Counter([(1, text(0)), (3, text(2)), (5, ""), (6, None), (7, text(5)), (None, None), (None, ""), (None, " ")])
+    assert pipeline.drop_near_copies(spark, make_docs([]), SF).count() == 0
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     tables = [docs]
