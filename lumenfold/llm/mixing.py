@@ -91,5 +91,9 @@ def cut_points(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     Documents before it in the order of ``(key, doc_id, size)`` are taken once more. With these rows
     the mix of texts is a map over them.
     """
-    at = placed(docs, weights, share, cap, seed).where("start <= rest AND rest < start + size")
+    rows = placed(docs, weights, share, cap, seed)
+    # a rest that is rounded up to the whole source ends at no document: it is one more epoch
+    one_more = (F.col("source_size") > 0) & (F.col("rest") == F.col("source_size"))
+    rows = rows.withColumn("epochs", F.col("epochs") + one_more.cast("long")).withColumn("rest", F.when(one_more, 0).otherwise(F.col("rest")))
+    at = rows.where("start <= rest AND rest < start + size")
     return at.select("source", "epochs", F.struct("key", "doc_id", "size").alias("cut"), (F.col("rest") - F.col("start")).alias("part"))

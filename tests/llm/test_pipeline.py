@@ -25,6 +25,19 @@ def test_one_row_of_a_group_stays(spark, make_docs):
     assert pipeline.drop_near_copies(spark, make_docs([]), SF).count() == 0
 
 
+def test_a_rest_of_the_whole_source_is_an_epoch(spark, make_docs):
+    rows, at = [], 0
+    for source, size in zip("abcd", (51, 14, 60, 7), strict=True):
+        for k in range(0, size, 7):
+            rows.append((at := at + 1, "w " * min(7, size - k), source))
+    docs = make_docs(rows)
+    want = {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
+    got = Counter()
+    for r in pipeline.mix_sources(spark, docs, SF).collect():
+        got[r.doc_id] += len(WORDS(r.text))
+    assert dict(got) == want and sum(want[i] for i, _, s in rows if s == "b") == 28
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     tables = [docs]
