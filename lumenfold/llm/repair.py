@@ -2,7 +2,8 @@
 
 Documents are range-partitioned and sorted by ``doc_id``; each partition is cut into shards of
 about ``shard_tokens`` ids. Within a shard frequent pairs of neighbouring symbols are replaced by
-nonterminals, round after round; pairs never span two documents. A shard is one binary value,
+nonterminals, round after round, until no pair is frequent or all 16-bit symbols are used; pairs
+never span two documents. A shard is one binary value,
 written by Spark's Parquet writer into the given folder, so that any store that Spark reaches
 will do, and holds, little-endian:
 
@@ -22,6 +23,7 @@ shards and an empty result.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -48,8 +50,9 @@ def replace_frequent(seq: np.ndarray, end: int, first: int, at_least: int, most:
     """One round: the most frequent pairs, as codes ``left << 16 | right``, become ``first``, ``first + 1``, ...
 
     Pairs are first counted in a table of hashes; those in the fullest cells, twice as many as pairs
-    are wanted, are sorted and counted exactly. Of pairs that share a cell the most frequent one is
-    taken, of overlapping occurrences every second.
+    are wanted, are sorted and counted exactly; if none of them is frequent, those in all cells are. Of
+    pairs that share a cell the most frequent one is taken, of overlapping occurrences every second;
+    pairs of which no occurrence is left get no symbol.
     """
     code = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
     cell = (code * np.uint32(2654435761)) >> np.uint32(14)
@@ -57,10 +60,13 @@ def replace_frequent(seq: np.ndarray, end: int, first: int, at_least: int, most:
     # the largest level that twice as many cells reach
     reach = np.cumsum(np.bincount(np.minimum(counts, 1 << 16))[::-1])[::-1]
     full = int(np.count_nonzero(reach >= 2 * most)) - 1
-    heavy = code[(counts >= max(full, at_least))[cell]]
-    heavy = heavy[(heavy >> np.uint32(16) != end) & (heavy & np.uint32(0xFFFF) != end)]
-    found, n = np.unique(heavy, return_counts=True)
-    found, n = found[n >= at_least], n[n >= at_least]
+    for level in sorted({max(full, at_least), at_least}, reverse=True):
+        heavy = code[(counts >= level)[cell]]
+        heavy = heavy[(heavy >> np.uint32(16) != end) & (heavy & np.uint32(0xFFFF) != end)]
+        found, n = np.unique(heavy, return_counts=True)
+        found, n = found[n >= at_least], n[n >= at_least]
+        if len(found):
+            break
     pairs = found[np.lexsort((found, -n))[:most]]
     own = (pairs * np.uint32(2654435761)) >> np.uint32(14)
     pairs = pairs[np.sort(np.unique(own, return_index=True)[1])]
@@ -74,15 +80,20 @@ def replace_frequent(seq: np.ndarray, end: int, first: int, at_least: int, most:
     new_run = np.r_[True, np.diff(at) > 1]
     run_at = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
     at = at[(np.arange(len(at)) - run_at) % 2 == 0]
+    used, own = np.unique(k[at], return_inverse=True)
+    pairs = pairs[used]
     out = seq.copy()
-    out[at] = first + k[at]
+    out[at] = first + own
     stay = np.ones(len(seq), bool)
     stay[at + 1] = False
     return out[stay], pairs
 
 
-def compress(docs: list[np.ndarray], vocabulary: int, rounds: int = 4, most: int = 1024, at_least: int = 32) -> bytes:
-    """The shard of these documents' ids. ``vocabulary`` ids precede the nonterminals."""
+def compress(docs: list[np.ndarray], vocabulary: int, rounds: int | None = None, most: int = 1024, at_least: int = 32) -> bytes:
+    """The shard of these documents' ids. ``vocabulary`` ids precede the nonterminals.
+
+    Rounds go on until no pair occurs ``at_least`` times or the symbols run out, or for ``rounds``.
+    """
     end = SYMBOLS - 1
     n_ids = np.array([len(d) for d in docs], np.uint32)
     seq = np.empty(int(n_ids.sum(dtype=np.int64)) + len(docs), np.uint16)
@@ -93,7 +104,7 @@ def compress(docs: list[np.ndarray], vocabulary: int, rounds: int = 4, most: int
     if len(docs):
         seq[mask] = np.concatenate(docs)
     rules = np.empty(0, np.uint32)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         room = min(most, end - vocabulary - len(rules))
         if room <= 0 or len(seq) < 2:
             break

@@ -96,6 +96,20 @@ def test_repair_shards(make_docs, edge_rows):
     assert repair.encode_documents(make_docs([]), PATH).count() == 0
 
 
+def test_rounds_go_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(4)
+    passage = r.integers(0, 50_000, 600).astype(np.uint16)
+    docs = [np.concatenate([r.integers(0, 50_000, 5).astype(np.uint16), passage]) for _ in range(100)] + [np.full(4096, 7, np.uint16)]
+    shard = repair.Shard(repair.compress(docs, 50_257))
+    assert all((shard.ids(k) == d).all() for k, d in enumerate(docs))
+    assert max(np.diff(shard.starts.astype(np.int64))) < 40 and max(shard.rule_len) > 256
+    left = Counter()
+    for a, b in zip(shard.starts[:-1].tolist(), shard.starts[1:].tolist(), strict=True):
+        own = shard.symbols[a:b].tolist()
+        left.update(zip(own, own[1:], strict=False))
+    assert max(left.values()) < 32
+
+
 def test_shard_random_access_and_size():
     r = np.random.default_rng(3)
     docs = [r.choice([5, 6, 7, 8, 50_000], n).astype(np.uint16) for n in (0, 1, 700, 3000, 2)]
