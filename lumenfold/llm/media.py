@@ -4,7 +4,8 @@ A text's bytes, padded by ``pad`` bytes of 255 up to a positive multiple, become
 of a mono WAV written by the ``wave`` module: the media column. Reading goes through ``wave``
 too. Features come from the samples that were read: a short-time Fourier transform with a Hann
 window, the strongest bin of each band of each frame as a peak if it stands out of its band, and
-pairs of a peak with peaks of the next frames. A pair is coded as (first bin, second bin, distance
+pairs of a peak with all peaks of the next frames. The last frame is filled up by holding the last
+sample, which is silence. A pair is coded as (first bin, second bin, distance
 in frames); arrays hold the codes and the frames at which they start.
 
 Each document is on its own, so nothing is shuffled; frames of a long one go through the transform
@@ -52,12 +53,16 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def n_frames(n_samples: int) -> int:
+    """Frames that hold all samples."""
+    return 1 + -(-max(0, n_samples - FRAME) // HOP)
+
+
 def peaks(samples: np.ndarray) -> np.ndarray:
     """The peak's bin for each frame and band; -1 where the band has none."""
-    count = 1 + max(0, len(samples) - FRAME) // HOP
+    count = n_frames(len(samples))
     x = (samples.astype(np.float32) - 128.0) / 128.0
-    if len(x) < FRAME:
-        x = np.r_[x, np.zeros(FRAME - len(x), np.float32)]
+    x = np.r_[x, np.full(FRAME + (count - 1) * HOP - len(x), x[-1] if len(x) else 0, np.float32)]
     out = np.empty((count, len(BANDS) - 1), np.int16)
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     for at in range(0, count, BLOCK):
@@ -68,6 +73,8 @@ def peaks(samples: np.ndarray) -> np.ndarray:
             best = band.argmax(axis=1)
             height = band[np.arange(len(band)), best]
             out[at : at + BLOCK, k] = np.where(height > 3.0 * band.mean(axis=1) + 1e-3, best + a, -1)
+        # a constant only leaks into the lowest band
+        out[at : at + BLOCK][np.ptp(frames[at : at + BLOCK], axis=1) == 0] = -1
     return out
 
 
@@ -77,11 +84,11 @@ def fingerprints(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     codes, times = [], []
     for dt in range(1, min(REACH, len(p) - 1) + 1):
         for a in range(p.shape[1]):
-            b = (a + dt) % p.shape[1]
-            first, second = p[:-dt, a], p[dt:, b]
-            at = np.flatnonzero((first >= 0) & (second >= 0))
-            codes.append((first[at] << 17) | (second[at] << 8) | dt)
-            times.append(at.astype(np.int32))
+            for b in range(p.shape[1]):
+                first, second = p[:-dt, a], p[dt:, b]
+                at = np.flatnonzero((first >= 0) & (second >= 0))
+                codes.append((first[at] << 17) | (second[at] << 8) | dt)
+                times.append(at.astype(np.int32))
     if not codes:
         return np.empty(0, np.int32), np.empty(0, np.int32)
     c, t = np.concatenate(codes), np.concatenate(times)
@@ -129,7 +136,7 @@ def features(media: DataFrame) -> DataFrame:
                     stored = value.as_buffer().to_pybytes()
                     payload = from_wav(stored)
                     c, t = fingerprints(np.frombuffer(payload, np.uint8))
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), 1 + max(0, len(payload) - FRAME) // HOP, c, t))
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), n_frames(len(payload)), c, t))
                 cols = list(zip(*rows, strict=True))
                 lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in col])].astype(np.int32)), pa.array(np.concatenate(col))) for col in cols[6:]]
                 plain = [pa.array(col, t) for col, t in zip(cols[:6], (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()), strict=True)]

@@ -57,6 +57,26 @@ def test_a_tone_gives_pairs_of_its_bin():
     assert media.from_wav(media.to_wav(samples.tobytes())) == samples.tobytes()
 
 
+def test_every_sample_is_in_a_frame_and_every_band_is_paired():
+    r = np.random.default_rng(9)
+    for n in (1, 511, 512, 513, 576, 1152, 1728, 2304):
+        x = r.integers(0, 256, n).astype(np.uint8)
+        whole = np.r_[x, np.full(media.FRAME + (media.n_frames(n) - 1) * media.HOP - n, x[-1])]
+        assert len(media.peaks(x)) == media.n_frames(n) and media.HOP * (media.n_frames(n) - 1) + media.FRAME >= n
+        assert (media.peaks(x) == media.peaks(whole)).all()
+    # texts that differ only in what was cut before
+    a = r.integers(0, 256, 576).astype(np.uint8)
+    b = a.copy()
+    b[512:] = r.integers(0, 256, 64)
+    assert media.fingerprints(a)[0].tolist() != media.fingerprints(b)[0].tolist()
+    assert (media.peaks(np.full(576, 255, np.uint8)) == -1).all()
+    x = r.integers(0, 256, 5000).astype(np.uint8)
+    p = media.peaks(x).tolist()
+    want = [(t, (u << 17) | (v << 8) | dt) for t in range(len(p)) for dt in range(1, 4) if t + dt < len(p) for u in p[t] if u >= 0 for v in p[t + dt] if v >= 0]
+    codes, times = media.fingerprints(x)
+    assert list(zip(times.tolist(), codes.tolist(), strict=True)) == want
+
+
 def test_quality(make_docs, spark, edge_rows):
     r = random.Random(9)
     rows, labels = list(edge_rows), [(4, 1, 0), (None, 1, 0)]
