@@ -2,33 +2,48 @@
 
 N-grams are hashed to 64 bits; the order of the hashes is the global order, cut into fragments
 (vertical partitioning). Two sets of sizes a and b whose coefficient reaches t differ in at most
-``d = (a + b) (1 - t) / (1 + t)`` n-grams. So if the order is cut into ``d + 2`` fragments, two or
-more of them hold the same n-grams in both sets, and one of these isn't empty, unless both sets
-have two or more empty ones (then the empty ones count too). Documents that share a fragment are
-candidates; a shared passage makes no candidates unless it fills a whole fragment. Sizes fall into
-levels with a ratio of ``t``; a document gives its fragments for its own level and the next, so that
-any two similar documents meet at one.
+``d = (a + b) (1 - t) / (1 + t)`` n-grams. Sizes fall into levels with a ratio of ``t``; a document
+gives its fragments for its own level and the next, so that any two similar documents meet at one.
+
+Candidates share a fragment that isn't empty. No similar pair is missed, because
+
+* at a level whose pairs differ in at most d n-grams the order is cut into ``k = d + 1 + E``
+  fragments, so E + 1 or more of them are equal in both sets (perhaps both empty); if one of the sets
+  has at most E empty fragments, one of the equal ones isn't empty;
+* E is what a set of the level's least size hardly exceeds, a number that depends on the level only.
+  A set that exceeds it is cut once more, by the order of another hash, and again up to ``CUTS``
+  times. At the first cut where one of a similar pair has at most E empty fragments both have given
+  their fragments. Only at the last cut empty fragments count, too;
+* of a set's fragments only the first are used (prefix filter): all are ordered by how often a sample
+  of documents holds them, then by digest, empty ones last. Two lists of k fragments that agree in all
+  but D of them have one in common among the first D + 1 of each; D is bounded by the set's own size
+  and by the level's largest. So of the fragments that aren't empty, all but the first D + 1 may go.
+
+The sample has a bounded number of fragments, so at any size there is a bounded number of fragments
+that it holds often. For these it names one of their documents, the leader, too, so they need no
+search, and no task reads all documents of one fragment. Copies in very large classes are left out
+before fragments are shuffled, those in small ones after.
 
 Equal sets are one class, of which the least id takes part. First every document of a fragment is
-compared to the least of it, and what is similar is joined into components; then the pairs of
-documents that have met in a fragment with one and the same least document, and that lie in
-different components, are compared. Before, a sketch gives a lower
-bound of the difference: of the n-grams in each of 1024 cells of the order it holds whether their
-number is odd, and every n-gram in which two sets differ changes one cell. Pairs that remain are
-held against a second sketch, of two to four cells for each n-gram. Afterwards, n-grams of
-candidate pairs are counted exactly: the overlaps of each fragment apart, then their sum. No link
-between components is lost and pairs inside a component aren't formed again.
+compared to its leader (where no sample names one: the least id), and what is similar is joined into components; then the
+pairs of documents that have one leader, and that lie in different components, are compared. Before, a
+sketch gives a lower bound of the difference: of the n-grams in each of 1024 cells of the order it
+holds whether their number is odd, and every n-gram in which two sets differ changes one cell. Pairs
+that remain are held against a second sketch, of two to four cells for each n-gram. Afterwards,
+n-grams of candidate pairs are counted exactly: the overlaps of each fragment apart, then their sum.
+No link between components is lost and pairs inside a component aren't formed again.
 
 Defined results: null or empty text, or one without words, has an empty set and is linked with
-nothing; a text of fewer than n words is one n-gram; rows of equal id are one document; a null id
-takes the component of its class, if that has an id; ids of 64 bits; other columns are ignored; an
-empty table gives an empty result.
+nothing; a text of fewer than n words is one n-gram; rows of equal id are one document, linked by
+any of its texts; a null id takes the component of its class, if that has an id; ids of 64 bits; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +51,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._scratch import drop, release, written, written_path
+from ._scratch import drop, written, written_path
+from ._skew import SAMPLE, SEEN, heavy, share
 from ._words import mix, rolling, slices, words
 
 SKETCH = 16  # words of 64 cells
 EXACT = 4  # fragments in which overlaps of candidate pairs are counted
 TILE = 1024  # documents of a block that a task compares with as many others
 SMALL = 16  # blocks of up to so many documents are compared by a join
-BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond it the join shuffles
+CUTS = 8  # orders by which a set is cut before its empty fragments count
 
 
 def sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -64,36 +80,89 @@ def max_difference(a_plus_b: int, num: int, den: int) -> int:
     return a_plus_b * (den - num) // (den + num)
 
 
+def most_empty(n: int, d: int) -> int:
+    """Empty fragments that ``n`` or more n-grams hardly exceed: the mean and two deviations, cut into d + 1 + E."""
+    most = 0
+    while most <= d + 4:
+        k = d + 1 + most
+        mean = k * exp(n * log1p(-1 / k)) if k > 1 else 0.0
+        need = int(mean + 2 * sqrt(mean))
+        if need <= most:
+            return most
+        most = need
+    return d + 4
+
+
 @lru_cache(None)
-def levels(num: int, den: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
-    """Largest size of each level, and its number of fragments (0: only equal sets are similar)."""
-    tops, cuts, low = [], [], 1
+def levels(num: int, den: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each level: largest size, difference of its pairs (0: only equal sets are similar), and E."""
+    tops, differences, empty, low, least = [], [], [], 1, 1
     while not tops or tops[-2 if len(tops) > 1 else -1] < upto:
         top = low * den // num
         d = max_difference(2 * top, num, den)
         tops.append(top)
-        cuts.append(d + 2 if d else 0)
-        low = top + 1
-    return np.array(tops), np.array(cuts)
-
-
-def fragment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Digests of the fragments of a set, at the level of its size and the next."""
-    tops, cuts = levels(num, den, 1 << max(12, len(s).bit_length()))
-    own = int(np.searchsorted(tops, len(s)))
-    out, high, mixed = [], s >> np.uint64(32), mix(s)
-    for level in (own, own + 1):
-        k = int(cuts[level])
-        if not k:
+        differences.append(d)
+        empty.append(most_empty(least, d))
+        least, low = low, top + 1  # sets of the level below take part
+    return np.array(tops), np.array(differences), np.array(empty)
+
+
+def rooms(n: np.ndarray | int, num: int, den: int, upto: int) -> list[np.ndarray]:
+    """For a set's own level and the next: the most n-grams in which it and a similar one can differ there."""
+    tops, differences, _ = levels(num, den, upto)
+    own = np.searchsorted(tops, n)
+    return [np.minimum(differences[i], (n + np.minimum(tops[i], n * den // num)) * (den - num) // (den + num)) for i in (own, own + 1)]
+
+
+class Common:
+    """Fragments that a sample holds often: digests in order, how often, and a document of each."""
+
+    def __init__(self, keys: np.ndarray, seen: np.ndarray, leaders: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.seen, self.leaders = keys[order], seen[order], leaders[order]
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key here, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+
+NONE = Common(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def fragment_keys(s: np.ndarray, num: int, den: int, common: Common | None = NONE) -> np.ndarray:
+    """Digests of the fragments of a set that its documents is indexed by; all of them if ``common`` is None."""
+    upto = 1 << max(12, len(s).bit_length())
+    _, differences, empty = levels(num, den, upto)
+    own = int(np.searchsorted(levels(num, den, upto)[0], len(s)))
+    keys, mixed = [s[:0]], mix(s)
+    for level, room in zip((own, own + 1), rooms(len(s), num, den, upto), strict=True):
+        d, allowed = int(differences[level]), int(empty[level])
+        if not d:
             continue
-        frag = (high * np.uint64(k)) >> np.uint64(32)
-        at = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]])
-        salt = np.uint64(level * 1_000_003)
-        out.append(mix(np.add.reduceat(mixed, at) + mix(frag[at] + salt)))
-        if k - len(at) > 1:
-            empty = np.setdiff1d(np.arange(k, dtype=np.uint64), frag[at])
-            out.append(mix(mix(empty + salt) ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.concatenate(out) if out else s[:0]
+        k = d + 1 + allowed
+        for cut in range(CUTS):
+            salt = np.uint64(level * 1_000_003 + cut * 7_368_787)
+            place = s if not cut else mix(s + salt)
+            frag, m = ((place >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32), mixed
+            if cut:
+                order = np.argsort(frag, kind="stable")
+                frag, m = frag[order], m[order]
+            at = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]])
+            found = mix(np.add.reduceat(m, at) + mix(frag[at] + salt))
+            enough = k - len(at) <= allowed
+            if enough and common is not None and len(found) > room + 1:
+                hot = common.places(found)
+                found = found[np.lexsort((found, np.where(hot >= 0, common.seen[hot], 0) if len(common.keys) else hot))[: int(room) + 1]]
+            keys.append(found)
+            if enough:
+                break
+            if cut == CUTS - 1:
+                none = np.setdiff1d(np.arange(k, dtype=np.uint64), frag[at])
+                keys.append(mix(mix(none + salt) ^ np.uint64(0x5851F42D4C957F2D)))
+    return np.concatenate(keys)
 
 
 def fine_sketch(s: np.ndarray) -> np.ndarray:
@@ -103,59 +172,102 @@ def fine_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def digests(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    if not len(s):
+        return np.uint64(0), np.uint64(0)
+    return np.add.reduce(mix(s + np.uint64(1))), np.add.reduce(mix(s ^ np.uint64(0xA0761D6478BD642F)))
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(k) for k in parts])].astype(np.int32)), pa.array(np.concatenate(parts)))
+
+
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """Size, digests and sketches of each set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, at = b.column(0), 0
             for lo, hi in slices(b.column(1)):
-                size, d1, d2, keys, sketch, fine = [], [], [], [], [], []
+                size, pairs, sketch, fine = [], [], [], []
                 for s in sets(b.column(1).slice(lo, hi - lo), n):
                     size.append(len(s))
-                    d1.append(np.add.reduce(mix(s + np.uint64(1))) if len(s) else np.uint64(0))
-                    d2.append(np.add.reduce(mix(s ^ np.uint64(0xA0761D6478BD642F))) if len(s) else np.uint64(0))
-                    keys.append(fragment_keys(s, num, den).view(np.int64) if len(s) else np.empty(0, np.int64))
+                    pairs.append(digests(s))
                     odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=SKETCH * 64) & 1
                     sketch.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
                     fine.append(fine_sketch(s))
-                cuts = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-                fine_cuts = np.r_[0, np.cumsum([len(k) for k in fine])].astype(np.int32)
-                yield pa.record_batch(
-                    [
-                        names.slice(lo, hi - lo),
-                        pa.array(np.array(size, np.int64)),
-                        pa.array(np.array(d1, np.uint64).view(np.int64)),
-                        pa.array(np.array(d2, np.uint64).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(keys))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(sketch))),
-                        pa.ListArray.from_arrays(pa.array(fine_cuts), pa.array(np.concatenate(fine))),
-                    ],
-                    ["doc_id", "n", "d1", "d2", "keys", "sketch", "fine"],
-                )
-                at = hi
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<bigint>, sketch array<bigint>, fine array<bigint>")
+                both = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(np.array(size, np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), _lists(sketch), _lists(fine)], ["doc_id", "n", "d1", "d2", "sketch", "fine"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch array<bigint>, fine array<bigint>")
+
+
+def fragments(docs: DataFrame, n: int, num: int, den: int, common: Common | None, copied: dict[tuple[int, int], int]) -> DataFrame:
+    """``(rep, key, leader)`` of each document's fragments, as `fragment_keys` gives them; leaders of common ones.
+
+    Of the classes ``copied`` (digests and least id) only documents of the least id give theirs.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((common, copied))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, copied = held.value
+        for b in batches:
+            for lo, hi in slices(b.column(1)):
+                names, keys = [], []
+                for name, s in zip(b.column(0).slice(lo, hi - lo).to_pylist(), sets(b.column(1).slice(lo, hi - lo), n), strict=True):
+                    if len(s) and (not copied or copied.get(tuple(int(x.view(np.int64)) for x in digests(s)), name) == name):
+                        names.append(name)
+                        keys.append(fragment_keys(s, num, den, common))
+                if names:
+                    flat = np.concatenate(keys)
+                    hot = (common or NONE).places(flat)
+                    leaders = pa.array((common or NONE).leaders[hot] if len((common or NONE).keys) else np.zeros(len(flat), np.int64), mask=hot < 0)
+                    yield pa.record_batch([pa.array(np.repeat(np.array(names, np.int64), [len(k) for k in keys])), pa.array(flat.view(np.int64)), leaders], ["rep", "key", "leader"])
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "rep long, key long, leader long")
 
 
 def exploded_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``(id, frag, grams)``: each set in ``EXACT`` fragments of the order."""
+    """``(id, v, n, frag, grams)``: each set, its digest and size, in ``EXACT`` fragments of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in slices(b.column(1)):
-                rows: tuple[list, list, list] = ([], [], [])
+                rows: tuple[list, ...] = ([], [], [], [], [])
                 for name, s in zip(b.column(0).slice(lo, hi - lo).to_pylist(), sets(b.column(1).slice(lo, hi - lo), n), strict=True):
                     frag = (s >> np.uint64(62)).astype(np.int64)
                     cut = np.searchsorted(frag, np.arange(EXACT + 1))
+                    digest = np.add.reduce(mix(s)) if len(s) else np.uint64(0)
                     for f in range(EXACT):
                         if cut[f + 1] > cut[f]:
-                            rows[0].append(name)
-                            rows[1].append(f)
-                            rows[2].append(s[cut[f] : cut[f + 1]].view(np.int64))
+                            for column, value in zip(rows, (name, digest, len(s), f, s[cut[f] : cut[f + 1]].view(np.int64)), strict=True):
+                                column.append(value)
                 if rows[0]:
-                    cuts = np.r_[0, np.cumsum([len(x) for x in rows[2]])].astype(np.int32)
-                    yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(rows[2])))], ["id", "frag", "grams"])
+                    cuts = np.r_[0, np.cumsum([len(x) for x in rows[4]])].astype(np.int32)
+                    grams = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(rows[4])))
+                    yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(np.array(rows[1], np.uint64).view(np.int64)), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), grams], ["id", "v", "n", "frag", "grams"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, v long, n long, frag int, grams array<bigint>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, frag int, grams array<bigint>")
+def common_fragments(docs: DataFrame, sig: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> Common:
+    """What a sample of about ``SAMPLE`` fragments, of whole documents, holds ``SEEN`` times or more."""
+    sizes = sig.where("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("m")).toArrow()  # one row a size
+    size, many = sizes.column("n").to_numpy(), sizes.column("m").to_numpy()
+    total = sum(int((many * (r + 1)).sum()) for r in rooms(size, num, den, 1 << max(12, int(size.max(initial=1)).bit_length())))
+    rate = min(1.0, SAMPLE / max(total, 1))
+    drawn = sig.where("n > 0").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(rate * (1 << 40)))
+    drawn = drawn.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").select("doc_id").distinct()
+    rows = fragments(docs.join(F.broadcast(drawn), "doc_id", "left_semi"), n, num, den, None, {})  # fewer ids than fragments
+    seen = rows.groupBy("key").agg(F.count(F.lit(1)).alias("seen"), F.min("rep").alias("leader")).where(F.col("seen") >= SEEN).toArrow()
+    return Common(seen.column("key").to_numpy().view(np.uint64), seen.column("seen").to_numpy(), seen.column("leader").to_numpy())
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """``(leader, rep)`` of the documents that share a fragment, without the leader itself."""
+    salt = F.when(F.col("leader").isNotNull(), F.pmod(F.xxhash64("rep"), F.lit(1024))).otherwise(0).cast("int")
+    same = Window.partitionBy("key", "salt")
+    found = rows.withColumn("salt", salt).select("rep", F.coalesce("leader", F.min("rep").over(same)).alias("leader"))
+    return found.where("leader <> rep").distinct()
 
 
 def fine_close(a: str, b: str, num: int, den: int):
@@ -225,19 +337,20 @@ def tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.groupBy("leader", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, repeated: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)`` whose exact overlap, summed over the fragments, reaches the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    path = written_path(exploded_sets(docs.join(own, "doc_id", "left_semi"), n), "grams")
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    own = docs.join(ids, "doc_id", "left_semi")
+    # equal rows are one document
+    again = repeated.select("doc_id")
+    own = own.join(again, "doc_id", "left_anti").unionByName(own.join(again, "doc_id", "left_semi").distinct())
+    path = written_path(exploded_sets(own, n), "grams")
     grams = docs.sparkSession.read.parquet(path)
-    left = grams.select(F.col("id").alias("a"), "frag", F.col("grams").alias("ga"))
-    right = grams.select(F.col("id").alias("b"), "frag", F.col("grams").alias("gb"))
-    partial = pairs.select("a", "b").join(left, "a").join(right, ["b", "frag"]).select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("m"))
-    sums = partial.groupBy("a", "b").agg(F.sum("m").alias("both"))
-    na, nb = sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
-    full = sums.join(na, "a").join(nb, "b")
-    similar = full.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both")))
+    left, right = (grams.select(F.col("id").alias(x), "frag", *[F.col(c).alias(c + x) for c in ("v", "n", "grams")]) for x in "ab")
+    partial = pairs.select("a", "b").join(left, "a").join(right, ["b", "frag"])
+    partial = partial.select("a", "b", "va", "vb", "na", "nb", F.size(F.array_intersect("gramsa", "gramsb")).alias("m"))
+    sums = partial.groupBy("a", "b", "va", "vb", "na", "nb").agg(F.sum("m").alias("both"))
+    similar = sums.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both")))
     found = written(similar.select("a", "b").distinct(), "verified")
     drop(docs.sparkSession, path)
     return found
@@ -247,25 +360,25 @@ def join_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     """``doc_id, n_shingles, component_id`` of every document; similar: num / den or more."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sig_path = written_path(signatures(docs, n, num, den), "signatures")
-    sig = spark.read.parquet(sig_path)
-    classes = sig.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = written(sig.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc_id", "n", "rep", (F.col("doc_id") == F.col("rep")).alias("is_rep")), "members")
-    reps = member.where("is_rep").groupBy("rep").agg(F.max("n").alias("n"))
-
-    key = Window.partitionBy("key").orderBy("doc_id")
-    rows = sig.where("doc_id IS NOT NULL AND n > 0").select("doc_id", F.explode("keys").alias("key"))
-    rows = rows.select("doc_id", "key", F.first("doc_id").over(key).alias("leader"), F.lead("doc_id").over(key).alias("next"))
-    shared = written(rows.where("leader <> doc_id OR next IS NOT NULL").select("leader", "doc_id").distinct(), "shared")
-
-    # the fragments' keys aren't needed any more; sketches of classes are small beside them
-    own = sig.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "n", "sketch", "fine")
-    both = written(own.join(reps.select("rep"), "rep", "left_semi"), "sketches")
+    sig = written(signatures(docs, n), "signatures")
+    short = sig.select("doc_id", "n", "d1", "d2")
+    classes = written(short.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    rep = classes.where("rep IS NOT NULL").select("rep").distinct()
+    many = heavy(classes, "copies").toArrow().to_pylist()
+    copied = {(r["d1"], r["d2"]): r["rep"] for r in many}
+    rows = fragments(docs, n, num, den, common_fragments(docs, sig, classes, n, num, den), copied)
+    shared = written(blocks(rows).join(rep, "rep", "left_semi"), "shared")
+    # sketches are needed of documents that have met only
+    met = written(shared.select("rep").union(shared.select("leader")).distinct(), "met")
+    sketched = sig.join(met.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").where("n > 0")
+    both = written(sketched.select(F.col("doc_id").alias("rep"), "n", "sketch", "fine"), "sketches")
     sketches, fines = both.select("rep", "n", "sketch"), both.select("rep", "n", "fine")
-    drop(spark, sig_path)
-    release(spark)
 
-    to_rep = member.where("rep IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "rep").distinct()
+    # rows of one id and different sets are one document
+    digest = F.struct("d1", "d2")
+    repeated = short.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("n") > 0, digest)).alias("x"), F.max(F.when(F.col("n") > 0, digest)).alias("y"))
+    repeated = written(repeated.where("rows > 1").select("doc_id", (F.col("x") != F.col("y")).alias("several")), "repeated")
+    several = short.where("n > 0").join(repeated.where("several"), "doc_id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("b"), F.col("rep").alias("a")).distinct()
 
     def close(a: str, b: str):
         """Sizes and sketches allow the pair."""
@@ -273,21 +386,15 @@ def join_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         total = F.col(f"{a}.n") + F.col(f"{b}.n")
         return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) * (den + num) <= total * (den - num)) & (sum(differ[1:], differ[0]) * (den + num) <= total * (den - num))
 
-    stars = shared.where("leader <> doc_id")
-    stars = stars.join(to_rep.select(F.col("doc_id").alias("leader"), F.col("rep").alias("x")), "leader").join(to_rep.withColumnRenamed("rep", "y"), "doc_id")
-    stars = stars.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    stars = shared.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
     stars = stars.join(sketches.alias("p"), F.col("a") == F.col("p.rep")).join(sketches.alias("q"), F.col("b") == F.col("q.rep")).where(close("p", "q"))
     stars = written(refined(stars.select("a", "b").distinct(), fines, num, den), "stars")
-    # rows of one id and different sets are one document
-    same = to_rep.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    links = written(verified(stars, docs, reps, n, num, den).unionByName(same), "links")
+    links = written(verified(stars, docs, repeated, n, num, den).unionByName(several.where("a <> b").select("a", "b")), "links")
     found = components(links)
 
-    # documents of one fragment have its least document in common: blocks by that one hold all candidates, once for each
-    blocks = shared.join(to_rep, "doc_id").select("leader", "rep").distinct()
-    placed = blocks.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", F.coalesce("component", "rep").alias("c"))
+    # documents of one fragment have its leader in common: blocks by that one hold all candidates, once for each
+    placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", F.coalesce("component", "rep").alias("c"))
     placed = written(placed, "placed")
-    release(spark)
     sizes = placed.groupBy("leader").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
     open_rows = placed.join(sizes.select("leader", "m"), "leader").join(both, "rep")
     few = open_rows.where(F.col("m") <= SMALL)
@@ -296,10 +403,9 @@ def join_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     more = p.join(q, near).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
     more = more.unionByName(tile_pairs(open_rows.where(F.col("m") > SMALL), num, den))
     more = written(more.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    release(spark)
     if not more.isEmpty():
-        links = written(links.unionByName(verified(more, docs, reps, n, num, den)), "links")
+        links = written(links.unionByName(verified(more, docs, repeated, n, num, den)), "links")
         found = components(links)
-    return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("component"))
+    result = share(short.where("n > 0"), written(named, "named"), ["d1", "d2"], "copies").select("doc_id", "n", "component")
+    return result.unionByName(short.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))).toDF("doc_id", "n_shingles", "component_id")
