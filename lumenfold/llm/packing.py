@@ -4,10 +4,12 @@ Documents become pieces: a document of at most ``capacity`` ids is one piece; a
 so that every piece but the first has ``capacity`` ids. Only the histogram of piece lengths, at
 most ``capacity`` numbers, reaches the driver. There the configuration linear program (one column
 for each multiset of lengths that fits, one covering row for each length) is solved by
-multiplicative weights: prices of lengths fall as they are covered, and the columns of each round
-come from a knapsack dynamic program under these prices. The solution is scaled to what there is
-and rounded; what rounding leaves is placed by best fit decreasing, on counts. The driver's work
-depends on ``capacity``, not on the number of documents.
+multiplicative weights: prices of lengths fall by the share of them that is covered, and the columns
+of each round come from a knapsack dynamic program under these prices. Of the columns within
+``near`` of the best one each is used by a bounded step, rounded to a whole number and never beyond
+what is left of a length; as the rows fill, ``near`` is widened. The few pieces (a few in a hundred)
+that no such column takes are placed by best fit decreasing, on counts. The prices give a lower bound
+of the number of sequences. The driver's work depends on ``capacity``, not on the number of documents.
 
 Pieces get their ranks within a length from counts of (length, bucket) and a window within each,
 so that no length, however common, is in one task. A table of runs (bounded by the number of
@@ -72,48 +74,44 @@ def price_fill(prices: np.ndarray, lens: np.ndarray, capacity: int) -> tuple[np.
     return best, last
 
 
-def solve(counts: np.ndarray, rounds: int = 120, eta: float = 2.0) -> tuple[dict[Pattern, float], float]:
-    """Fractional columns that cover ``counts`` (index: length), and a lower bound of the optimum.
+Step = tuple[Pattern, int]  # a column and how often it is used
 
-    Each round covers a ``1 / rounds`` share of every length by columns that the knapsack program
-    finds under the current prices; then prices fall by ``exp(-eta * overcover)``.
+
+def solve(counts: np.ndarray, step: float = 0.1, eta: float = 0.6, bend: float = 1.05, near: float = 0.01, widest: float = 1.0) -> tuple[list[list[Step]], float]:
+    """Whole columns that hold no more than ``counts`` (index: length) by round, and a lower bound of the optimum.
+
+    A round uses at most a ``step`` of each length (one at least). Prices start a little above
+    proportion for long lengths (``bend``), so that these aren't left to the end.
     """
     capacity = len(counts) - 1
-    lens = np.flatnonzero(counts)
-    if not len(lens):
-        return {}, 0.0
-    need = counts[lens].astype(float)
-    at = {int(n): i for i, n in enumerate(lens)}
-    prices = lens / capacity
-    covered, used, bound = np.zeros(len(lens)), defaultdict(float), 0.0
-    for r in range(1, rounds + 1):
-        best, last = price_fill(prices, lens, capacity)
-        bound = max(bound, float(need @ prices) / max(best[capacity], 1e-12))
-        fills: dict[int, Pattern] = {}
-
-        def fill(w: int, last: np.ndarray = last, fills: dict[int, Pattern] = fills) -> Pattern:
-            if w not in fills:
-                out, v = [], w
-                while v > 0:
-                    if last[v]:
-                        out.append(int(last[v]))
-                        v -= int(last[v])
-                    else:
-                        v -= 1
-                fills[w] = tuple(out)
-            return fills[w]
-
-        target = need * (r / rounds)
-        for i in range(len(lens) - 1, -1, -1):
-            if (short := target[i] - covered[i]) > 1e-9:
-                column = tuple(sorted((int(lens[i]), *fill(capacity - int(lens[i]))), reverse=True))
-                amount = short / column.count(int(lens[i]))
-                used[column] += amount
-                for n in column:
-                    covered[at[n]] += amount
-        prices = prices * np.exp(-eta * (covered / need - r / rounds).clip(-1, 1))
-        prices /= max(prices.max(), 1e-12)
-    return dict(used), bound
+    need, left = counts.astype(float), counts.astype(np.int64)
+    base = (np.arange(capacity + 1) / capacity) ** bend
+    steps: list[list[Step]] = []
+    bound = float(need @ np.arange(capacity + 1)) / max(capacity, 1)
+    while left.any() and near < widest:
+        lens = np.flatnonzero(left)
+        prices = np.zeros(capacity + 1)
+        prices[lens] = base[lens] * np.exp(eta * (left[lens] / need[lens] - 1))
+        best, last = price_fill(prices[lens], lens, capacity)
+        bound = max(bound, float(need @ prices) / best[capacity])
+        room = np.minimum(left, np.maximum(1, np.ceil(step * need)).astype(np.int64))
+        found: list[Step] = []
+        for n in lens[::-1].tolist():
+            if not room[n] or prices[n] + best[capacity - n] < (1 - near) * best[capacity]:
+                continue
+            column, w = [n], capacity - n
+            while w > 0:
+                column += [int(last[w])] if last[w] else []
+                w -= max(1, int(last[w]))
+            held, copies = np.unique(column, return_counts=True)
+            if times := int((room[held] // copies).min()):
+                found.append((tuple(sorted(column, reverse=True)), times))
+                left[held] -= copies * times
+                room[held] -= copies * times
+        steps.append(found)
+        if sum(len(p) * m for p, m in found) < 0.02 * (left.sum() + 1):
+            near *= 1.5
+    return steps, bound
 
 
 def best_fit(counts: np.ndarray) -> dict[Pattern, int]:
@@ -150,36 +148,37 @@ def best_fit(counts: np.ndarray) -> dict[Pattern, int]:
     return dict(out)
 
 
-def plan(counts: np.ndarray, rounds: int = 120) -> tuple[dict[Pattern, int], float]:
-    """Whole sequences that hold exactly ``counts``: the rounded linear program and best fit of the rest."""
+def plan(counts: np.ndarray) -> tuple[dict[Pattern, int], float, float]:
+    """Whole sequences that hold exactly ``counts``, a lower bound, and the program's share of short pieces.
+
+    The rounded program places all that its rounds place, or nine tenths of the pieces and more: of
+    its last rounds, those are left to best fit that best fit does with fewer sequences.
+    """
     counts = np.asarray(counts, np.int64)
     capacity = len(counts) - 1
-    whole = {(capacity,): int(counts[capacity])} if counts[capacity] else {}
-    left = counts.copy()
-    left[capacity] = 0
-    columns, bound = solve(left, rounds)
-    cover = np.zeros(capacity + 1)
-    for p, x in columns.items():
-        for n in p:
-            cover[n] += x
-    over = np.maximum(cover / np.maximum(left, 1), 1.0)
-    out: dict[Pattern, int] = defaultdict(int, whole)
-    carried = 0.0
-    # fullest first; a running remainder rounds the columns so that their sum is kept
-    for p, x in sorted(columns.items(), key=lambda c: (-sum(c[0]), c[0])):
-        carried += x / max(over[n] for n in p)
-        times = int(carried)
-        for n in set(p):
-            times = min(times, int(left[n]) // p.count(n))
-        if times and sum(p) == capacity:
-            out[p] += times
-            carried -= times
+    short = counts.copy()
+    short[capacity] = 0
+    steps, bound = solve(short)
+    left, total, tried, used = short.copy(), int(short.sum()), [], 0
+    for i, found in enumerate(steps):
+        for p, m in found:
+            used += m
             for n in p:
-                left[n] -= times
-        carried = min(carried, 1.0)
-    for p, m in best_fit(left).items():
-        out[p] += m
-    return dict(out), bound + int(counts[capacity])
+                left[n] -= m
+        if i == len(steps) - 1 or (10 * left.sum() <= total and i % 4 == 0):
+            tried.append((used + sum(best_fit(left).values()), -i))
+    out: dict[Pattern, int] = defaultdict(int, {(capacity,): int(counts[capacity])} if counts[capacity] else {})
+    placed = 0
+    if tried:
+        left = short.copy()
+        for p, m in (s for found in steps[: 1 - min(tried)[1]] for s in found):
+            out[p] += m
+            placed += m * len(p)
+            for n in p:
+                left[n] -= m
+        for p, m in best_fit(left).items():
+            out[p] += m
+    return dict(out), bound + int(counts[capacity]), placed / max(total, 1)
 
 
 def runs(patterns: dict[Pattern, int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -214,13 +213,13 @@ def ranked(pieces: DataFrame) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, rounds: int = 120) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``."""
     pieces = written(to_pieces(docs, tokenizer, capacity, end_id), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `capacity` rows
         counts[r["length"]] = r["n"]
-    table = runs(plan(counts, rounds)[0])
+    table = runs(plan(counts)[0])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
