@@ -15,9 +15,10 @@ that lies inside a base span is that span; one that reaches beyond is a candidat
 
 Matches and their places come from two built-in functions that walk the text alike: the matches,
 and the pieces between them; running sums of their lengths are the places, in code points. All
-of it stays in the row, so there is no shuffle and a document is the largest unit of work; the
-interval join asks for parts in the row's own arrays. A text without any base or weak match costs
-one pass for each kind.
+of it stays in the row, so there is no shuffle and a document is the largest unit of work. Running
+sums go over blocks of about sqrt(m) of m matches, and the interval join asks only those blocks of parts
+that reach into a scope, so a text of m matches takes m sqrt(m) steps, not m^2. A text without any base
+or weak match costs one pass for each kind.
 
 Defined results: null or empty text has no spans (empty string, and the hash of the empty
 string); a null ``doc_id`` is kept; rows that repeat give rows that repeat; other columns are
@@ -26,6 +27,8 @@ ignored unless named in ``keep``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,37 +48,69 @@ ENDPOINT = r"\b(?i:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amq
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 SPAN = "array<struct<s:int,e:int,k:int>>"
+CHUNK = 1024  # code points
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once and not for each use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(items: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of each block of about sqrt(m) of the m items."""
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), width)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(starts, lambda i: use(F.slice(items, i, width)))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of the integers what ``join`` makes of 0 and those before it."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def block(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))
+
+    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<int>>)").alias("out"))
+
+    def behind(acc: Column, p: Column) -> Column:
+        return F.struct(join(acc["at"], p["at"]).alias("at"), F.array_append(acc["out"], F.transform(p["out"], lambda o: join(acc["at"], o))).alias("out"))
+
+    return _let(values, lambda v: F.aggregate(_blocks(v, block), first, behind, lambda acc: F.flatten(acc["out"])))
 
 
 def places(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Spans ``(s, e, k)`` of all matches, leftmost and without overlap; ``keep`` tests the match."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.expr(f"cast(array() as {SPAN})")
 
     def spans(matches: Column) -> Column:
-        # zipped, so that the pieces are cut once and not for each match
         between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
         pairs = F.zip_with(matches, between, lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), (keep(m) if keep else F.lit(True)).alias("ok")))
-        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
 
-        def step(acc: Column, p: Column) -> Column:
-            s = acc["at"] + p["gap"]
-            span = F.struct(s.alias("s"), (s + p["n"]).alias("e"), F.lit(kind).alias("k"))
-            return F.struct((s + p["n"]).alias("at"), F.when(p["ok"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        def placed(p: Column) -> Column:
+            before = running(F.transform(p, lambda x: x["gap"] + x["n"]), lambda x, y: x + y)
+            found = F.zip_with(p, before, lambda x, at: F.struct((at + x["gap"]).alias("s"), (at + x["gap"] + x["n"]).alias("e"), F.lit(kind).alias("k"), x["ok"].alias("ok")))
+            return F.transform(F.filter(found, lambda x: x["ok"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
 
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return _let(pairs, placed)
 
-    # bound once as the element of an array, so that the search is not repeated for each use
-    return F.element_at(F.transform(F.array(found), lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(F.expr(f"cast(array() as {SPAN})"))), 1)
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(none))
+
+
+def _indexed(parts: Column) -> Column:
+    """Blocks of spans in order of their starts, with their least start and largest end."""
+    return _let(F.array_sort(parts), lambda p: _blocks(p, lambda b: F.struct(F.get(b, F.lit(0))["s"].alias("lo"), F.array_max(F.transform(b, lambda x: x["e"])).alias("hi"), b.alias("held"))))
 
 
 def _in_scope(span: Column, parts: Column, reach: int) -> Column:
     """Is there a part other than the span itself within ``reach`` code points of it?"""
-    return F.exists(parts, lambda p: (p["s"] <= span["e"] + reach) & (p["e"] >= span["s"] - reach) & ((p["e"] <= span["s"]) | (p["s"] >= span["e"])))
+    near = lambda p: (p["s"] <= span["e"] + reach) & (p["e"] >= span["s"] - reach) & ((p["e"] <= span["s"]) | (p["s"] >= span["e"]))
+    return F.exists(parts, lambda b: (b["lo"] <= span["e"] + reach) & (b["hi"] >= span["s"] - reach) & F.exists(b["held"], near))
 
 
 def _apart(weak: Column, base: Column) -> Column:
     """Weak spans that lie inside no base span."""
-    return F.filter(weak, lambda w: ~F.exists(base, lambda b: (b["s"] <= w["s"]) & (w["e"] <= b["e"])))
+    inside = lambda w, b: F.exists(b["held"], lambda p: (p["s"] <= w["s"]) & (w["e"] <= p["e"]))
+    return F.filter(weak, lambda w: ~F.exists(base, lambda b: (b["lo"] <= w["s"]) & (w["e"] <= b["hi"]) & inside(w, b)))
 
 
 def spans_of(docs: DataFrame, reach: int = 200, keep: bool = False) -> DataFrame:
@@ -87,9 +122,10 @@ def spans_of(docs: DataFrame, reach: int = 200, keep: bool = False) -> DataFrame
     rows = rows.select("*", places(F.col("_text"), ASSIGN, 0, value).alias("_a"), places(F.col("_text"), ACCESS_LONG, 1).alias("_i"), places(F.col("_text"), HEX_LONG, 2).alias("_h"))
     rows = rows.withColumn("base", F.array_sort(F.concat("_a", "_i", "_h")))
     rows = rows.select("*", *[places(F.col("_text"), p, k).alias(n) for k, (n, p) in enumerate((("_wi", IDENTIFIER), ("_ws", STRONG_STRING), ("_we", ENDPOINT)), 3)])
-    rows = rows.select("*", *[_apart(F.col(n), F.col("base")).alias(n[1:]) for n in ("_wi", "_ws", "_we")])
+    rows = rows.withColumn("_base", _indexed(F.col("base")))
+    rows = rows.select("*", *[_apart(F.col(n), F.col("_base")).alias(n[1:]) for n in ("_wi", "_ws", "_we")])
     identifiers, secrets = F.concat("wi", "_i"), F.concat("ws", "_a", "_h")
-    rows = rows.select("*", identifiers.alias("_ids"), secrets.alias("_secrets"))
+    rows = rows.select("*", _indexed(identifiers).alias("_ids"), _indexed(secrets).alias("_secrets"))
     linked = F.concat(
         F.filter("wi", lambda w: _in_scope(w, F.col("_secrets"), reach)),
         F.filter("ws", lambda w: _in_scope(w, F.col("_ids"), reach)),
@@ -127,17 +163,22 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]", reach: int = 200) -> DataFrame:
     """``docs`` with every base and linked span of ``text`` replaced by ``mask``; other columns stay."""
     rows = spans_of(docs, reach, keep=True)
-    all_spans = by_place(F.concat("base", "linked"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(
-        all_spans,
-        start,
-        # a span that begins inside the one before only extends it
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("row.text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("row.text"), acc["at"] + 1, F.length("row.text") - acc["at"])),
-    )
-    new = F.when(F.size(F.concat("base", "linked")) > 0, cut).otherwise(F.col("row.text"))
+    text = F.col("row.text")
+    # pieces are cut from chunks of the text, as places are counted from the start of a string
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def piece(parts: Column, s: Column, e: Column) -> Column:
+        first, last = F.floor(s / CHUNK).cast("int"), F.floor((e - 1) / CHUNK).cast("int")
+        cut = lambda i: F.substring(F.get(parts, i), F.greatest(F.lit(0), s - i * CHUNK) + 1, F.least(F.lit(CHUNK), e - i * CHUNK) - F.greatest(F.lit(0), s - i * CHUNK))
+        return F.when(e > s, F.array_join(F.transform(F.sequence(first, last), cut), "")).otherwise(F.lit(""))
+
+    def masked(spans: Column, parts: Column) -> Column:
+        done = running(F.transform(spans, lambda x: x["e"]), F.greatest)
+        # a span that begins inside one before only extends it
+        heads = F.zip_with(spans, done, lambda x, at: F.when(x["s"] >= at, F.concat(piece(parts, at, x["s"]), F.lit(mask))).otherwise(F.lit("")))
+        end = F.array_max(F.transform(spans, lambda x: x["e"]))
+        return F.concat(F.array_join(heads, ""), piece(parts, end, F.length(text)))
+
+    cut = _let(by_place(F.concat("base", "linked")), lambda spans: _let(chunks, lambda parts: masked(spans, parts)))
+    new = F.when(F.size("base") + F.size("linked") > 0, cut).otherwise(text)
     return rows.select(*[new.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
