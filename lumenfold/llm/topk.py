@@ -7,13 +7,17 @@ weight are added three at a time by full adders (bitwise and, or, exclusive or)
 has one slice, which are the slices of the scores. The best k rows are then picked from the most
 significant slice downward; rows that tie at the boundary are resolved exactly, by the smaller id.
 
-Work is dealt as tiles of a block of queries and a block of candidates, both of bounded size; the
-best k of each query in each tile meet in a last ranking of at most k rows a tile.
+Work is dealt as tiles of a block of queries and a block of candidates, both of bounded size; a tile
+builds the index of its block once for up to ``query_block`` queries, so a vector is sent once for each
+so many queries, in the narrowest integers that hold all components. Where there are fewer tiles than
+partitions, queries are dealt into more blocks. The best k of each query in each tile meet in a last
+ranking of at most k rows a tile.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; a query
 is compared to vectors of its own length; equal scores rank by the smaller id; a row whose id equals
 the query's is the query's own; a null id takes no part; repeated rows are candidates as often as
-they occur; scores that leave 64 bits raise an error; an empty table gives an empty result.
+they occur, and one query; rows of one id with different vectors are queries of their own, each with
+its ranks; scores that leave 64 bits raise an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_id long, query long, vec_id long, score long"
 
 
 class SlicedIndex:
@@ -115,7 +119,8 @@ class SlicedIndex:
 def tile_top(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int) -> tuple[list, list, list]:
     """Best k of each query among a block; both are (ids, integer matrix)."""
     order = np.argsort(rows[0], kind="stable")
-    ids, matrix = rows[0][order], rows[1][order]
+    ids, matrix = rows[0][order], rows[1][order].astype(np.int64)
+    queries = (queries[0], queries[1].astype(np.int64))
     index = SlicedIndex(matrix)
     largest = [max(abs(int(m.max())), abs(int(m.min()))) if m.size else 0 for m in (matrix, queries[1])]
     if largest[0] * largest[1] * matrix.shape[1] >= 1 << 63:
@@ -132,29 +137,35 @@ def tile_top(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.
     return out
 
 
-def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20, query_block: int = 256, row_block: int = 32_768) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20, query_block: int = 8192, row_block: int = 32_768) -> DataFrame:
     """``query_id, rank, vec_id, score``: queries are the rows whose id is divisible by ``every``."""
     usable = "vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
     ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
     rows = vectors.select("vec_id", "embedding").where(usable).select("vec_id", F.size("embedding").alias("dims"), ints.alias("v"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
-    blocks, groups = max(1, -(-n["n"] // row_block)), max(1, -(-n["q"] // query_block))
-    h = F.xxhash64("vec_id")
+    is_query = F.col("vec_id") % every == 0
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi")).first()
+    kind, dtype = next(((t, d) for t, d, b in (("smallint", np.int16, 15), ("int", np.int32, 31)) if n["n"] and n["lo"] is not None and -(1 << b) <= n["lo"] and n["hi"] < 1 << b), ("bigint", np.int64))
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    blocks = max(1, -(-n["n"] // row_block))
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, -(-n["q"] // query_block), min(-(-tasks // blocks), -(-n["q"] // 64)))
     tiles = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = rows.where(F.col("vec_id") % every == 0).select("dims", F.pmod(h, F.lit(groups)).cast("int").alias("g"), tiles(blocks).alias("b"), F.lit(True).alias("asks"), "vec_id", "v")
-    held = rows.select("dims", tiles(groups).alias("g"), F.pmod(h, F.lit(blocks)).cast("int").alias("b"), F.lit(False).alias("asks"), "vec_id", "v")
+    place = lambda m: F.pmod(F.xxhash64("vec_id", "v"), F.lit(m)).cast("int")
+    asked = rows.where(is_query).distinct().select("dims", place(groups).alias("g"), tiles(blocks).alias("b"), F.lit(True).alias("asks"), "vec_id", F.xxhash64("v").alias("query"), "v")
+    held = rows.select("dims", tiles(groups).alias("g"), place(blocks).alias("b"), F.lit(False).alias("asks"), "vec_id", F.lit(0).cast("long").alias("query"), "v")
 
     def run(table: pa.Table) -> pa.Table:
         dims = table.column("dims")[0].as_py()
-        asks = table.column("asks").to_numpy()
-        ids = table.column("vec_id").to_numpy()
-        flat = np.concatenate([c.flatten().to_numpy() for c in table.column("v").chunks]) if table.num_rows else np.empty(0, np.int64)
+        asks, ids, query = (table.column(c).to_numpy() for c in ("asks", "vec_id", "query"))
+        flat = np.concatenate([c.flatten().to_numpy() for c in table.column("v").chunks]) if table.num_rows else np.empty(0, dtype)
         matrix = flat.reshape(-1, dims)
+        names = [f.split()[0] for f in RESULT.split(", ")]
         if not asks.any() or asks.all():
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
         q, v, s = tile_top((ids[asks], matrix[asks]), (ids[~asks], matrix[~asks]), k)
-        return pa.table({"query_id": np.concatenate(q).astype(np.int64), "vec_id": np.concatenate(v).astype(np.int64), "score": np.concatenate(s).astype(np.int64)})
+        which = np.repeat(query[asks], [len(x) for x in q])
+        return pa.table(dict(zip(names, (np.concatenate(q).astype(np.int64), which, np.concatenate(v).astype(np.int64), np.concatenate(s).astype(np.int64)), strict=True)))
 
     best = asked.unionByName(held).groupBy("dims", "g", "b").applyInArrow(run, RESULT)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
