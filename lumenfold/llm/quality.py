@@ -15,7 +15,8 @@ Fitting reads at most about ``sample_rows`` positives and as many unlabelled tex
 bound, drawn by a hash of the id over the whole tables); scoring is a map over all documents.
 
 Defined results: null or empty text has the score of features that are all zero; a null ``doc_id``
-isn't learnt from and is never held out; repeated rows have equal scores; other columns are ignored;
+isn't learnt from and is never held out; repeated rows have equal scores; of labels that
+repeat an id the larger holds; other columns are ignored;
 without any positive label every score is the prior, 0.5; an empty table gives an empty result.
 """
 
@@ -180,14 +181,14 @@ def _part(rows: DataFrame, most: int, n: int) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Model:
     """Fit on the rows of ``labels`` and ``docs`` that aren't held out."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id")))
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy((F.col("quality") == 1).alias("quality")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = counts.get(True, 0), counts.get(False, 0)
     width = N_FEATURES
     nothing = Model(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), 0.0, 0.5)
     if not n1:
         return nothing
-    trusted = _part(known.where("quality = 1").select("doc_id").distinct(), sample_rows, n1)  # bounded by sample_rows
+    trusted = _part(known.where("quality = 1").select("doc_id"), sample_rows, n1)  # bounded by sample_rows
     open_docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     marked = open_docs.join(F.broadcast(trusted.withColumn("trusted", F.lit(True))), "doc_id", "left")
     n = docs.count()
@@ -198,13 +199,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Mode
         for b in batches:
             for lo, hi, x in batches_of_features(b.column("text")):
                 cuts = np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES
-                yield pa.record_batch([b.column("trusted").slice(lo, hi - lo), b.column("web").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.ravel()))], ["trusted", "web", "x"])
+                yield pa.record_batch([*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "h", "trusted", "web")), pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.ravel()))], ["doc_id", "h", "trusted", "web", "x"])
 
-    table = taken.select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "web", "text").mapInArrow(run, "trusted boolean, web boolean, x array<float>").toArrow()
+    rows = taken.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("trusted", F.lit(False)).alias("trusted"), "web", "text")
+    table = rows.mapInArrow(run, "doc_id long, h long, trusted boolean, web boolean, x array<float>").toArrow()
     if not table.num_rows:
         return nothing
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
-    order = np.lexsort(x.T[:12])  # the order of rows must not depend on tasks
+    order = np.lexsort((table.column("h").to_numpy(), table.column("doc_id").to_numpy()))  # must not depend on tasks
     x, p, u = x[order], table.column("trusted").to_numpy()[order], table.column("web").to_numpy()[order]
     if not p.any() or not u.any():
         return nothing
