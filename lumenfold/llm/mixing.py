@@ -8,8 +8,8 @@ a range gives each document's. A target of ``e`` whole sizes and a rest takes ev
 times, and once more those before the rest's end; the document at the end is cut there, so each
 source's words meet its target to within one word.
 
-Ranges split a source of any size into tasks; sums of (source, range) are the only thing that
-meets in one place for each source.
+Ranges split a source of any size into tasks; there are so many that one holds about ``RANGE`` rows at
+most. Sums of (source, range) are the only thing that meets in one place for each source.
 
 Defined results: null text has size 0; null source is a source of its own, after all others; a
 null ``doc_id`` hashes like an empty text; rows that repeat are documents of their own; a source
@@ -18,11 +18,14 @@ without words has target 0; other columns are ignored; an empty table gives an e
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scratch import written
 
+RANGE = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,9 +62,15 @@ def mix_key(seed: str = "") -> Column:
 
 
 def placed(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: str) -> DataFrame:
-    """Every document with ``start``, the words of its source before it, and its source's epochs and rest."""
+    """Every document with ``start``, the words of its source before it, and its source's epochs and rest.
+
+    ``nth`` counts rows of equal key, id and size from 0.
+    """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), mix_key(seed).alias("key"))
-    sized = written(sized.withColumn("bucket", F.substring("key", 1, 2)), "sized")
+    sized = written(sized, "sized")
+    most = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    digits = max(2, ceil(log(max(most, 1) / RANGE, 16)))
+    sized = sized.withColumn("bucket", F.substring("key", 1, digits))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     goals = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, cap)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,11 +80,12 @@ def placed(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float,
         .select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target")
     )
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    ordered = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
+    rows = sized.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("nth", F.row_number().over(ordered) - F.rank().over(ordered))
     rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target")).cast("long") - epochs * F.col("source_size")
-    return rows.select("doc_id", "source", "size", "key", "source_size", "target", (F.col("before") + F.col("own")).alias("start"), epochs.alias("epochs"), rest.alias("rest"))
+    return rows.select("doc_id", "source", "size", "key", "nth", "source_size", "target", (F.col("before") + F.col("own")).alias("start"), epochs.alias("epochs"), rest.alias("rest"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: str = "") -> DataFrame:
@@ -86,14 +96,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def cut_points(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: str = "") -> DataFrame:
-    """One row a source: whole epochs, and the document at which the rest ends with its part of words.
+    """One row a source: whole epochs, the document at which the rest ends, and the words it gives then.
 
     Documents before it in the order of ``(key, doc_id, size)`` are taken once more. With these rows
-    the mix of texts is a map over them.
+    the mix of texts is a map over them. Rows that equal the cut give ``words`` together, one after
+    another. A source whose rest is all of it has one more epoch; one without a rest has no cut (null).
     """
     rows = placed(docs, weights, share, cap, seed)
     # a rest that is rounded up to the whole source ends at no document: it is one more epoch
-    one_more = (F.col("source_size") > 0) & (F.col("rest") == F.col("source_size"))
+    one_more = (F.col("source_size") > 0) & (F.col("rest") >= F.col("source_size"))
     rows = rows.withColumn("epochs", F.col("epochs") + one_more.cast("long")).withColumn("rest", F.when(one_more, 0).otherwise(F.col("rest")))
-    at = rows.where("start <= rest AND rest < start + size")
-    return at.select("source", "epochs", F.struct("key", "doc_id", "size").alias("cut"), (F.col("rest") - F.col("start")).alias("part"))
+    at = (F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("size"))
+    words = F.col("rest") - F.col("start") + F.col("nth") * F.col("size")
+    found = F.min(F.when(at, F.struct(F.struct("key", "doc_id", "size").alias("cut"), words.alias("words"))))
+    return rows.groupBy("source").agg(F.max("epochs").alias("epochs"), found.alias("at")).select("source", "epochs", "at.cut", F.coalesce("at.words", F.lit(0)).alias("words"))
