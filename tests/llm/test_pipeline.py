@@ -38,6 +38,24 @@ def test_a_rest_of_the_whole_source_is_an_epoch(spark, make_docs):
     assert dict(got) == want and sum(want[i] for i, _, s in rows if s == "b") == 28
 
 
+def test_the_mix_of_texts_takes_what_the_mix_takes(spark, make_docs):
+    cases = [
+        [(2, "w " * 8, "a"), (3, "w " * 3, "b")],  # the target rounds up to the source's size
+        [(i, "w " * 5, "abc"[i % 3]) for i in range(9)],
+        [(7, "w " * 4, "a")] * 5 + [(8, "w " * 4, "b")] * 3 + [(9, "v " * 6, "b")],  # rows that repeat at the cut
+        [(None, t, None) for t in ("w " * 4, "v " * 4, "w " * 4, "u u", None, "")] + [(1, "w " * 9, "a"), (2, None, "a"), (3, "", "b")],
+    ]
+    for rows in cases:
+        docs = make_docs(rows)
+        want, got = Counter(), Counter()
+        for r in mixing.mix(docs).collect():
+            want[r.doc_id] += r.taken
+        for r in pipeline.mix_sources(spark, docs, SF).collect():
+            got[r.doc_id] += len(WORDS(r.text))
+        assert +got == +want
+    assert pipeline.mix_sources(spark, make_docs([]), SF).count() == 0
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     tables = [docs]

@@ -184,6 +184,36 @@ def test_long_weak_parts_are_taken_to_their_ends(make_docs):
     assert spans[100].startswith(f"endpoint:0:{len(plain)},") and spans[102].startswith(f"endpoint:0:{len(signed)},") and spans[103].startswith("identifier:0:165,")
 
 
+def brute_linked(text, reach=200):
+    """All spans, weak ones by comparing each to every part."""
+    kinds = [[m.span() for m in ASSIGN.finditer(text) if len(m[2]) >= 6], *([m.span() for m in re.finditer(p, text, re.A)] for p in (secrets.ACCESS_LONG, secrets.HEX_LONG, secrets.IDENTIFIER, secrets.STRONG_STRING, secrets.ENDPOINT))]
+    base = [s for k in kinds[:3] for s in k]
+    wi, ws, we = ([w for w in k if not any(b[0] <= w[0] and w[1] <= b[1] for b in base)] for k in kinds[3:])
+
+    def near(w, parts):
+        return any(p[0] <= w[1] + reach and p[1] >= w[0] - reach and (p[1] <= w[0] or p[0] >= w[1]) for p in parts)
+
+    ids, found = wi + kinds[1], ws + kinds[0] + kinds[2]
+    linked = [[w for w in wi if near(w, found)], [w for w in ws if near(w, ids)], [w for w in we if near(w, ids) and near(w, found)]]
+    names = ("assign", "access", "hex", "identifier", "secret", "endpoint")
+    spans = sorted((a, k, b) for k, own in enumerate(kinds[:3] + linked) for a, b in own)
+    return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def test_linking_against_brute_force(make_docs):
+    r = random.Random(8)
+    secret = lambda: "".join(r.choice("abcXYZ019") for _ in range(r.randint(15, 30)))
+    makes = (secret, lambda: "ASIA" + "Q7" * r.randint(3, 9), lambda: "AKIA" + "Z5" * r.randint(6, 10), lambda: f"token={secret()}", lambda: f"login: bob{r.randint(0, 99)}", lambda: "https://a.example.com/" + secret(), lambda: "0123abcdef" * 2, lambda: "fe12" * 8, lambda: "word " * r.randint(1, 60))
+    rows = [(i, r.choice((" ", "\n", ", ")).join(r.choice(makes)() for _ in range(r.randint(0, 60)))) for i in range(150)]
+    rows.append((900, " ".join(r.choice(makes)() for _ in range(4000))))  # a long text with thousands of matches
+    got = {g.doc_id: g.spans for g in secrets.scan(make_docs(rows)).collect()}
+    assert got == {i: brute_linked(t) for i, t in rows}
+    text, out, at = rows[-1][1], "", 0
+    for _, a, b in (s.split(":") for s in got[900].split(",")):
+        out, at = (out + text[at : int(a)] + "[SECRET]" if int(a) >= at else out), max(at, int(b))
+    assert {g.doc_id: g.text for g in secrets.redact(make_docs(rows[-1:])).collect()} == {900: out + text[at:]}
+
+
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
@@ -226,8 +256,9 @@ def test_url_filter(spark):
     names = ["a.example.com", "free-bets.example.net", "x.free-bets.example.net", "notfree-bets.example.net", "b.example.org", "EXAMPLE.com", "com"]
     urls_ = [None, "", "no scheme", "http://", "x://h?q", *(f"http://{n}{p}" for n in names for p in ("", "/en/7", "/en/1#x", "/de/8?a", "/es/", "?u=http://z/en/"))]
     df = spark.createDataFrame([(i, u, "host") for i, u in enumerate(urls_)] + [(None, "http://com/en/", "h")], "page_id long, url string, rule string")
-    for rate in (0.01, 0.5):
-        got = urls.judge(df, RULES, LISTED, rate).collect()
+    table = spark.createDataFrame([(x,) for x in (*LISTED, LISTED[0], None)], "key string")
+    for rate, listed, size in ((0.01, LISTED, 64 << 20), (0.5, table, 64 << 20), (0.5, LISTED, 8)):  # the last in parts
+        got = urls.judge(df, RULES, listed, rate, size).collect()
         assert len(got) == len(urls_) + 1
         for g in got:
             u = "http://com/en/" if g.page_id is None else urls_[g.page_id] or ""

@@ -53,7 +53,7 @@ def test_plan_holds_every_length():
     r = np.random.default_rng(0)
     for n in (0, 1, 30, 5000):
         counts = np.bincount(np.minimum(r.lognormal(4.5, 1.2, n).astype(int) + 1, 256), minlength=257)
-        patterns, bound = packing.plan(counts)
+        patterns, bound, share = packing.plan(counts)
         held = Counter()
         for p, m in patterns.items():
             assert sum(p) <= 256 and m > 0
@@ -62,6 +62,20 @@ def test_plan_holds_every_length():
         assert all(held[i] == c for i, c in enumerate(counts))
         used = sum(patterns.values())
         assert bound - 1e-6 <= used <= max(1.0, 1.02 * bound + 1)
+        assert n < 5000 or (share >= 0.5 and used <= bound + 2)
+
+
+def test_the_program_places_nearly_all_pieces_of_documents():
+    import pyarrow.parquet as pq
+
+    from lumenfold.llm._tokens import encoded
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).combine_chunks()
+    counts = np.bincount([n for x in encoded(texts, PATH, 2) for _, n in packing.cut(len(x), 1024)], minlength=1025)
+    patterns, bound, share = packing.plan(counts)
+    used, plain = sum(patterns.values()), sum(packing.best_fit(counts).values())
+    print(f"program {share:.3f} of short pieces, {used} sequences, bound {bound:.1f}, best fit alone {plain}")
+    assert share >= 0.9 and used <= min(plain, 1.005 * bound)
 
 
 def test_pack(make_docs, edge_rows):
@@ -107,7 +121,7 @@ def test_rounds_go_on_until_no_pair_is_frequent():
     for a, b in zip(shard.starts[:-1].tolist(), shard.starts[1:].tolist(), strict=True):
         own = shard.symbols[a:b].tolist()
         left.update(zip(own, own[1:], strict=False))
-    assert max(left.values()) < 32
+    assert max(left.values()) < repair.PAYS
 
 
 def test_shard_random_access_and_size():

@@ -26,6 +26,15 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_query(spark):
+    rows = [(20, [1.0, 0.0])] * 3 + [(20, [0.0, 1.0]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [0.25, 1000.0]), (3, [-1.0, -70000.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 4).collect()
+    first = [(64 * 64, 1), (64 * 64, 1), (64 * 16, 2), (-64 * 64, 3)]  # of [1, 0]
+    second = [(64 * 64000, 2), (64 * 32, 1), (64 * 32, 1), (-64 * 64 * 70000, 3)]  # of [0, 1]
+    want = sorted((20, k + 1, i, s) for best in (first, second) for k, (s, i) in enumerate(best))
+    assert sorted((g.query_id, g["rank"], g.vec_id, g.score) for g in got) == want
+
+
 def test_sliced_index_ties_and_few_rows():
     index = topk.SlicedIndex(np.zeros((5, 3), np.int64))
     assert index.top(np.array([1, -2, 0]), 3, np.zeros(1, np.uint64)).tolist() == [0, 1, 2]
