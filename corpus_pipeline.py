@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold import attach
@@ -67,17 +67,26 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one at a source's cut is shortened to its part.
 
-    Only sizes and hashes are sorted; texts are then repeated or cut where they are.
+    Only sizes and hashes are sorted; texts are then repeated or cut where they are. Rows that equal
+    the cut in id and size share its words: equal rows are counted, and what is sorted are the
+    different texts of that one id.
     """
-    cuts = written(mixing.cut_points(docs, (5, 2, 1), 1.0, 3.0).withColumnRenamed("source", "s"), "cuts")
+    cuts = written(mixing.cut_points(docs, (5, 2, 1), 1.0, 3.0).withColumnRenamed("source", "s").withColumnRenamed("words", "_room"), "cuts")
     place = F.struct(mixing.mix_key().alias("key"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))
     rows = docs.select(*COLUMNS, mixing.n_words(F.col("text")).alias("size")).join(cuts, F.col("source").eqNullSafe(F.col("s")))
     rows = rows.where("size > 0").withColumn("at", place)
-    whole = (F.col("epochs") + F.when(F.col("at") < F.col("cut"), 1).otherwise(0)).cast("int")
-    part = F.when(F.col("at") == F.col("cut"), F.col("part")).otherwise(0).cast("int")
+    here = F.col("cut").isNotNull() & F.col("at").eqNullSafe(F.col("cut"))
+    plain = rows.where(~here).select(*COLUMNS, (F.col("epochs") + F.when(F.col("at") < F.col("cut"), 1).otherwise(0)).alias("whole"), F.lit(0).cast("long").alias("words"))
+    ends = rows.where(here).groupBy(*COLUMNS, "size", "epochs", "_room").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(F.sha2("text", 256), "lang", "n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.floor(F.col("_room") / F.col("size")) - before  # whole rows that are left to give
+    more = F.greatest(F.lit(0), F.least(F.col("n"), left))
+    part = F.when((left >= 0) & (left < F.col("n")), F.col("_room") % F.col("size")).otherwise(0)
+    ends = ends.select(*COLUMNS, (F.col("epochs") * F.col("n") + more).alias("whole"), part.alias("words"))
     # copies 1 to `whole` are the document, copy 0 is its part
+    whole, part = F.col("whole").cast("int"), F.col("words").cast("int")
     copies = F.concat(F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.expr("array()")), F.when(part > 0, F.array(F.lit(0))).otherwise(F.expr("array()")))
-    rows = rows.select(*COLUMNS, part.alias("words"), F.explode(copies).alias("copy"))
+    rows = plain.unionByName(ends).select(*COLUMNS, part.alias("words"), F.explode(copies).alias("copy"))
     # the words and what stands before each, up to the cut
     n = F.col("words")
     found, before = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)), F.split("text", mixing.WORD, -1)
