@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 SAMPLE = 1 << 22
 SEEN = 8
+SMALL_BYTES = 64 << 20  # ids of up to so many bytes are broadcast
 HEAVY = 1 << 16  # keys with more than this part of all rows are heavy; there are fewer than this
 
 
@@ -28,3 +29,11 @@ def share(rows: DataFrame, table: DataFrame, on: list[str], count: str) -> DataF
     """
     hot = F.broadcast(heavy(table, count))
     return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(table.join(hot, on, "left_anti"), on, "left"))
+
+
+def only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """``rows`` whose column ``on`` is in ``ids``, a written table of one distinct long: broadcast if it is small.
+
+    Otherwise both are shuffled, by a column that has one row in ``ids``.
+    """
+    return rows.join(F.broadcast(ids) if 8 * ids.count() <= SMALL_BYTES else ids, on, "left_semi")

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._scratch import drop, written, written_path
-from ._skew import SAMPLE, SEEN, heavy, share
+from ._skew import SAMPLE, SEEN, heavy, only, share
 from ._words import mix, rolling, slices, words
 
 SKETCH = 16  # words of 64 cells
@@ -340,7 +340,7 @@ def tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, repeated: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)`` whose exact overlap, summed over the fragments, reaches the threshold."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    own = docs.join(ids, "doc_id", "left_semi")
+    own = only(docs, ids, "doc_id")
     # equal rows are one document
     again = repeated.select("doc_id")
     own = own.join(again, "doc_id", "left_anti").unionByName(own.join(again, "doc_id", "left_semi").distinct())
@@ -370,7 +370,7 @@ def join_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     shared = written(blocks(rows).join(rep, "rep", "left_semi"), "shared")
     # sketches are needed of documents that have met only
     met = written(shared.select("rep").union(shared.select("leader")).distinct(), "met")
-    sketched = sig.join(met.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").where("n > 0")
+    sketched = only(sig.where("n > 0"), met.withColumnRenamed("rep", "doc_id"), "doc_id")
     both = written(sketched.select(F.col("doc_id").alias("rep"), "n", "sketch", "fine"), "sketches")
     sketches, fines = both.select("rep", "n", "sketch"), both.select("rep", "n", "fine")
 
