@@ -31,9 +31,9 @@ def share(rows: DataFrame, table: DataFrame, on: list[str], count: str) -> DataF
     return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(table.join(hot, on, "left_anti"), on, "left"))
 
 
-def only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """``rows`` whose column ``on`` is in ``ids``, a written table of one distinct long: broadcast if it is small.
+def only(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose column ``on`` is in ``ids`` (``left_anti``: isn't), a written table of one distinct long.
 
-    Otherwise both are shuffled, by a column that has one row in ``ids``.
+    Small tables are broadcast. Otherwise both are shuffled, by a column that has one row in ``ids``.
     """
-    return rows.join(F.broadcast(ids) if 8 * ids.count() <= SMALL_BYTES else ids, on, "left_semi")
+    return rows.join(F.broadcast(ids) if 8 * ids.count() <= SMALL_BYTES else ids, on, how)
