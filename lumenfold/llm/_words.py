@@ -31,7 +31,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if size <= 1 << 23:
+        if size <= 1 << 20:  # longer texts are rare; a worker keeps 8 MB a base
             _powers[base] = have
     return have[:n]
 
