@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lumenfold import attach
 from lumenfold.llm import jaccard, mixing, packing, quality, secrets
 from lumenfold.llm._scratch import written
+from lumenfold.llm._skew import only
 from lumenfold.llm.queries import CAPACITY, END_ID, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -50,11 +51,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = jaccard.join_components(rows.select(F.col("_id").alias("doc_id"), "text"), SHINGLE, SIMILAR, OF)
     # rows of one id are one document, in the component of those with words
     ids = found.groupBy("doc_id").agg(F.min(F.when(F.col("n_shingles") > 0, F.col("component_id"))).alias("c"), F.count(F.lit(1)).alias("n"))
-    stays = written(ids.where("c IS NULL OR c = doc_id").select(F.col("doc_id").alias("_id"), "n"), "stays")
-    once = rows.join(stays.where("n = 1"), "_id", "left_semi").select(*COLUMNS)
+    gone = written(ids.where("c <> doc_id OR n > 1").select(F.col("doc_id").alias("_id")), "gone")
+    many = written(ids.where("(c IS NULL OR c = doc_id) AND n > 1").select(F.col("doc_id").alias("_id")), "many")
+    once = only(rows, gone, "_id", "left_anti").select(*COLUMNS)
     # of rows that repeat an id, the least with words: an aggregate, so that no id's rows meet in one task
     row = F.struct((mixing.n_words(F.col("text")) == 0).alias("empty"), *COLUMNS)
-    again = rows.join(stays.where("n > 1"), "_id", "left_semi").groupBy("_id").agg(F.min(row).alias("row"))
+    again = only(rows, many, "_id").groupBy("_id").agg(F.min(row).alias("row"))
     return once.unionByName(again.select("row.*").select(*COLUMNS)).unionByName(docs.where(~judged).select(*COLUMNS))
 
 
@@ -72,12 +74,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     different texts of that one id.
     """
     cuts = written(mixing.cut_points(docs, (5, 2, 1), 1.0, 3.0).withColumnRenamed("source", "s").withColumnRenamed("words", "_room"), "cuts")
-    place = F.struct(mixing.mix_key().alias("key"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))
-    rows = docs.select(*COLUMNS, mixing.n_words(F.col("text")).alias("size")).join(cuts, F.col("source").eqNullSafe(F.col("s")))
-    rows = rows.where("size > 0").withColumn("at", place)
-    here = F.col("cut").isNotNull() & F.col("at").eqNullSafe(F.col("cut"))
-    plain = rows.where(~here).select(*COLUMNS, (F.col("epochs") + F.when(F.col("at") < F.col("cut"), 1).otherwise(0)).alias("whole"), F.lit(0).cast("long").alias("words"))
-    ends = rows.where(here).groupBy(*COLUMNS, "size", "epochs", "_room").agg(F.count(F.lit(1)).alias("n"))
+    size = mixing.n_words(F.col("text"))
+    rows = docs.select(*COLUMNS).join(cuts, F.col("source").eqNullSafe(F.col("s")))
+    place = F.struct(mixing.mix_key().alias("key"), F.col("doc_id").alias("doc_id"), size.alias("size"))
+    here = F.col("cut").isNotNull() & (mixing.mix_key() == F.col("cut.key")) & F.col("doc_id").eqNullSafe(F.col("cut.doc_id")) & (size == F.col("cut.size"))
+    once_more = F.when(F.col("cut").isNotNull() & (place < F.col("cut")), 1).otherwise(0)
+    plain = rows.where(size > 0).where(~F.coalesce(here, F.lit(False))).select(*COLUMNS, (F.col("epochs") + once_more).alias("whole"), F.lit(0).cast("long").alias("words"))
+    ends = rows.where(here).groupBy(*COLUMNS, F.col("cut.size").alias("size"), "epochs", "_room").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(F.sha2("text", 256), "lang", "n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = F.floor(F.col("_room") / F.col("size")) - before  # whole rows that are left to give
     more = F.greatest(F.lit(0), F.least(F.col("n"), left))
