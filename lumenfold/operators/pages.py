@@ -36,7 +36,11 @@ def prepared(page: np.ndarray, run: Run) -> np.ndarray:
 
 def binarized(page: np.ndarray, run: Run) -> tuple[np.ndarray, int | None]:
     """The mask and, for global methods, the threshold."""
-    page = prepared(page, run)
+    return masked(prepared(page, run), run)
+
+
+def masked(page: np.ndarray, run: Run) -> tuple[np.ndarray, int | None]:
+    """As `binarized`, of a page that is prepared."""
     if run.method == "sauvola":
         mask, t = kernels.sauvola(page, run.window_size, run.k, run.dynamic_range), None
     else:
@@ -67,13 +71,14 @@ def measure(rasters: DataFrame, runs: tuple[Run, ...], truth: Run | None = None,
                 page = np.frombuffer(p["pixels"], np.uint8).reshape(p["height"], p["width"])
                 own = np.frombuffer(p["truth"], np.uint8).reshape(page.shape).astype(bool) if p.get("truth") is not None else binarized(page, truth)[0] if truth else None
                 for pos, r in enumerate(runs):
-                    mask, t = binarized(page, r)
+                    ready = prepared(page, r)
+                    mask, t = masked(ready, r)
                     rois = []
                     for x in p.get("rois") or ():
                         at = np.s_[x["y"] : x["y"] + x["height"], x["x"] : x["x"] + x["width"]]
                         rois.append(dict(zip(("roi_id", "tag", "tp", "fp", "fn", "tn", "d1", "d2", "d4", "d5", "d8", "blocks"), (x["roi_id"], x["tag"], *_scores(mask[at], own[at])), strict=True)))
                     scores = _scores(mask, own) if own is not None else (None,) * 10
-                    rows.append((r.run_id, pos, p["page_id"], p["category"], p["width"], p["height"], t, int(mask.sum()), int(prepared(page, r).sum(dtype=np.int64)), *scores, len(g4.encode(mask)) if encode else None, rois))
+                    rows.append((r.run_id, pos, p["page_id"], p["category"], p["width"], p["height"], t, int(mask.sum()), int(ready.sum(dtype=np.int64)), *scores, len(g4.encode(mask)) if encode else None, rois))
             cols = list(zip(*rows, strict=True)) or [()] * len(schema)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -149,8 +154,8 @@ def scored(rows: DataFrame) -> DataFrame:
     )
 
 
-def aggregate(rows: DataFrame, *keys: str) -> DataFrame:
-    """Macro and micro F1, means and extremes over pages of each group."""
+def aggregate(rows: DataFrame, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Macro and micro F1, means and extremes over pages of each group, and ``more`` aggregates."""
     sums = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("page_count"),
         F.avg("f1").alias("macro_f1"),
@@ -162,20 +167,25 @@ def aggregate(rows: DataFrame, *keys: str) -> DataFrame:
         F.percentile("drd", 0.5).alias("median_drd"),
         F.max("drd").alias("max_drd"),
         *[F.sum(k).alias(k) for k in ("tp", "fp", "fn")],
+        *more,
     )
     micro = R.f_measure(F.col("tp"), F.col("fp"), F.col("fn"))["f1"]
     return sums.withColumn("micro_f1", micro).drop("tp", "fp", "fn")
 
 
-def worst(rows: DataFrame) -> DataFrame:
-    """The page of lowest F1 (first of equals) and of highest distortion (last of equals) of each run."""
-    return rows.groupBy("run_id").agg(
+def worst_columns() -> tuple[Column, ...]:
+    """The page of lowest F1 (first of equals), of highest distortion and of most ink (last of equals)."""
+    return (
         F.min_by("page_id", F.struct("f1", "page_id")).alias("lowest_f1_page"),
         F.max_by("page_id", F.struct("drd", "page_id")).alias("highest_drd_page"),
         F.max_by("page_id", F.struct("black", "page_id")).alias("most_ink_page"),
     )
 
 
+def worst(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("run_id").agg(*worst_columns())
+
+
 def roi_rows(rows: DataFrame) -> DataFrame:
     """Measured regions as rows of their own."""
     return rows.select("run_id", "page_id", "category", F.inline("rois"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import BASELINE_RUNS, Run
 from ..operators import pages as P
-from ..sources import fixtures
+from ..sources import fixtures, manifests, suite
 
 FIXTURE = "page_id long, page_name string, category string, width int, height int, pixels binary, truth binary, " + f"rois {P.ROI}"
 
@@ -29,9 +29,10 @@ def page_results(rasters: DataFrame, runs: tuple[Run, ...]) -> DataFrame:
 
 
 def run_report(results: DataFrame) -> DataFrame:
-    """Aggregates, worst pages and coded bytes of each run."""
-    sizes = results.groupBy("run_id").agg(F.min("pos").alias("pos"), F.sum("encoded_bytes").alias("encoded_bytes"), F.avg("bytes_per_megapixel").alias("mean_bytes_per_megapixel"))
-    return P.aggregate(results, "run_id").join(sizes, "run_id").join(P.worst(results), "run_id").orderBy("pos")
+    """Aggregates, worst pages and coded bytes of each run, in one pass over the results."""
+    sizes = (F.min("pos").alias("pos"), F.sum("encoded_bytes").alias("encoded_bytes"), F.avg("bytes_per_megapixel").alias("mean_bytes_per_megapixel"))
+    largest = F.max_by("page_id", F.struct("encoded_bytes", "page_id")).alias("largest_page")
+    return P.aggregate(results, "run_id", more=(*sizes, *P.worst_columns(), largest)).orderBy("pos")
 
 
 def roi_report(results: DataFrame) -> DataFrame:
@@ -49,6 +50,19 @@ def golden(spark: SparkSession) -> DataFrame:
     return run_report(page_results(fixture_rasters(spark), BASELINE_RUNS))
 
 
+def validate(spark: SparkSession, dataset: str, profile: str, schemas: tuple[str, str] = (suite.DATASET, suite.PROFILE)) -> DataFrame:
+    """The pages of a dataset, checked with their files, sizes and regions, and nothing run; a bad one stops the query."""
+    manifests.load_profile(profile, schemas[1], spark)
+    pages = manifests.load_pages(spark, manifests.load_dataset(dataset, schemas[0], spark))
+    return pages.select("page_id", "page_name", "category", "width", "height", F.length("pixels").alias("pixels"), F.size("rois").alias("rois"))
+
+
+def from_manifests(spark: SparkSession, dataset: str, profile: str, schemas: tuple[str, str] = (suite.DATASET, suite.PROFILE)) -> DataFrame:
+    """Results of every run of a profile over every page of a dataset; see `run_report` and `roi_report`."""
+    runs = manifests.load_profile(profile, schemas[1], spark)
+    return page_results(manifests.load_pages(spark, manifests.load_dataset(dataset, schemas[0], spark)), runs)
+
+
 def report_json(report: DataFrame) -> DataFrame:
     """One JSON envelope for each run; null fields are left out."""
     body = F.struct(*[F.col(c) for c in report.columns])

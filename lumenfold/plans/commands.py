@@ -46,7 +46,7 @@ def processed(rows: DataFrame, run: Run, encode: bool = True, keep: bool = False
                 try:
                     gray = np.frombuffer(p["pixels"], np.uint8).reshape(p["height"], p["width"])
                     ready = pages.prepared(gray, run)
-                    mask, t = pages.binarized(gray, run)
+                    mask, t = pages.masked(ready, run)
                     mean = float(ready.sum(dtype=np.int64)) / ready.size
                     std = float(np.sqrt(max(float((ready.astype(np.int64) ** 2).sum()) / ready.size - mean * mean, 0.0)))
                     out.append((*head, t, mask.size, int(mask.sum()), int(ready.min()), int(ready.max()), mean, std, len(g4.encode(mask)) if encode else None, kernels.pack_bits(mask) if keep else None, None))

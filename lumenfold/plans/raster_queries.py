@@ -116,9 +116,9 @@ def worst_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tagged halves of the first rows, and an untagged region over the middle that overlaps both."""
+    """Two tagged halves of the whole page, and an untagged region over the middle that overlaps both."""
     rows = _rasters(spark, sf_dir)
-    height = F.least(F.lit(12), F.col("height"))
+    height = F.col("height")
     roi = lambda name, x, w, tag: F.struct(F.lit(name).alias("roi_id"), F.lit(x).alias("x"), F.lit(0).alias("y"), F.lit(w).alias("width"), height.alias("height"), F.lit(tag).cast("string").alias("tag"))
     return rows.withColumn("rois", F.array(roi("a", 0, 32, "left"), roi("b", 32, 32, "right"), roi("c", 20, 24, None)))
 
@@ -258,7 +258,7 @@ FROM conf c LEFT JOIN total t USING (run_id, page_id) LEFT JOIN blocks b USING (
 def _roi_cte() -> str:
     return f"""WITH {_ALL},
 pages AS (SELECT page_id, max(y) + 1 AS height FROM px GROUP BY ALL),
-rois AS (SELECT page_id, roi_id, rx, rw, least(12, height) AS rh, tag FROM pages, (VALUES ('a', 0, 32, 'left'), ('b', 32, 32, 'right'), ('c', 20, 24, NULL)) r(roi_id, rx, rw, tag)),
+rois AS (SELECT page_id, roi_id, rx, rw, height AS rh, tag FROM pages, (VALUES ('a', 0, 32, 'left'), ('b', 32, 32, 'right'), ('c', 20, 24, NULL)) r(roi_id, rx, rw, tag)),
 rconf AS (
   SELECT m.run_id, m.page_id, r.roi_id, r.tag, count_if(black AND truth)::BIGINT AS tp, count_if(black AND NOT truth)::BIGINT AS fp, count_if(NOT black AND truth)::BIGINT AS fn
   FROM masks m JOIN rois r ON m.page_id = r.page_id AND m.x >= rx AND m.x < rx + rw AND m.y < rh WHERE m.run_id <> 'sauvola' GROUP BY ALL),

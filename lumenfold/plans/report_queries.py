@@ -15,7 +15,7 @@ from .. import attach
 from ..functions import reports as R
 from ..model import Run
 from ..operators import kernels, pages, pdf
-from ..sources import rasters
+from ..sources import rasters, suite
 from . import benchmark
 
 SAMPLES = 4
@@ -144,7 +144,16 @@ def source_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published comparison over the synthetic suite, rounded as it is published."""
-    rows = benchmark.golden(attach(spark))
+    return _published(benchmark.golden(attach(spark)))
+
+
+def benchmark_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same comparison from files: the suite is written as PNGs and manifests, read back and run."""
+    dataset, profile = suite.write_suite(attach(spark), suite.shared_folder(spark, "lumenfold-suite"))
+    return _published(benchmark.run_report(benchmark.from_manifests(spark, dataset, profile)))
+
+
+def _published(rows: DataFrame) -> DataFrame:
     shown = ("macro_f1", "micro_f1", "mean_precision", "mean_recall", "mean_drd", "median_drd", "max_drd")
     return rows.select("run_id", "page_count", *[F.round(c, 4).alias(c) for c in shown], "perfect_psnr_page_count", "encoded_bytes", F.round("mean_bytes_per_megapixel", 1).alias("bytes_per_megapixel"))
 
@@ -201,7 +210,7 @@ def pdf_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         page_pixel_size, rotation_normalize, page_selection, sample_pages, bytes_per_pixel_quartiles, size_estimate, estimate_comparison, page_outliers, process_totals,
-        extreme_pages, duration_stats, metadata_sanitize, source_digests, benchmark_golden, golden_rois, g4_roundtrip, pdf_structure,
+        extreme_pages, duration_stats, metadata_sanitize, source_digests, benchmark_golden, benchmark_manifest, golden_rois, g4_roundtrip, pdf_structure,
     )
     return {f.__name__: f for f in found}
 
@@ -235,6 +244,7 @@ def oracle_sql() -> dict[str, str]:
     turn = lambda k: f"CASE WHEN ((((p_size - 25) * {k}) % 360) + 360) % 360 IN (0, 90, 180, 270) THEN ((((p_size - 25) * {k}) % 360) + 360) % 360 END"
     return {
         "benchmark_golden": GOLDEN,
+        "benchmark_manifest": GOLDEN,
         "golden_rois": GOLDEN_ROIS,
         "page_pixel_size": f"SELECT p_partkey, {sizes} FROM (SELECT p_partkey, p_size * 20.0::DOUBLE AS w, p_retailprice / 2.0::DOUBLE AS h FROM part)",
         "rotation_normalize": f"SELECT p_partkey, {turn(90)} AS quarter, {turn(45)} AS eighth FROM part",

@@ -8,10 +8,11 @@ from collections import Counter
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import MAX_PAGES, MAX_ROIS, MAX_RUNS, InputError, ResourceLimit, Run
+from . import rasters
+from ..model import MAX_PAGES, MAX_ROIS, MAX_RUNS, InputError, ResourceLimit, Run, UnsupportedInput
 
 VERSION = "1.0"
 PAGE = "page_id string, pos int, input string, ground_truth string, category string, tags array<string>, rois array<struct<roi_id:string,x:int,y:int,width:int,height:int,tag:string>>"
@@ -19,7 +20,7 @@ PAGE = "page_id string, pos int, input string, ground_truth string, category str
 
 @dataclass(frozen=True)
 class Dataset:
-    root: Path
+    root: str
     head: dict
     pages: tuple[dict, ...]
     digest: str
@@ -45,8 +46,8 @@ def _unique(ids: list[str], what: str) -> None:
         raise InputError(f"{what} ids must be unique", ids=", ".join(sorted(twice)))
 
 
-def _head(path: Path, schema: str) -> tuple[dict, str]:
-    raw = path.read_bytes()
+def _head(path: str | Path, schema: str, spark: SparkSession | None) -> tuple[dict, str]:
+    raw = Path(path).read_bytes() if spark is None else bytes(spark.read.format("binaryFile").load(str(path)).first()["content"])
     try:
         data = tomllib.loads(raw.decode())
     except (UnicodeDecodeError, tomllib.TOMLDecodeError) as e:
@@ -56,10 +57,9 @@ def _head(path: Path, schema: str) -> tuple[dict, str]:
     return data, hashlib.sha256(raw).hexdigest()
 
 
-def load_dataset(path: str | Path, schema: str) -> Dataset:
-    """The manifest at ``path``, whose ``schema`` name must be the given one."""
-    path = Path(path)
-    data, digest = _head(path, schema)
+def load_dataset(path: str | Path, schema: str, spark: SparkSession | None = None) -> Dataset:
+    """The manifest at ``path``, whose ``schema`` name must be the given one; read by Spark if a session is given."""
+    data, digest = _head(path, schema, spark)
     for key in ("id", "title", "license", "provenance", "ground_truth_method"):
         if not isinstance(data.get(key), str):
             raise InputError(f"{key} is missing")
@@ -71,17 +71,19 @@ def load_dataset(path: str | Path, schema: str) -> Dataset:
     _unique([p["id"] for p in pages], "page")
     for p in pages:
         for key in ("input", "ground_truth"):
-            contained(path.parent, p[key])
+            contained(Path(path).parent, p[key])
+            if Path(p[key]).suffix.lower() != ".png":
+                raise UnsupportedInput("pages are PNG files", path=p[key])
         rois = p.get("rois", [])
         if len(rois) > MAX_ROIS:
             raise ResourceLimit(f"a page has up to {MAX_ROIS} regions", page=p["id"])
         _unique([r["id"] for r in rois], "region")
-    return Dataset(path.parent, data, tuple(pages), digest)
+    return Dataset(str(path).rpartition("/")[0] or ".", data, tuple(pages), digest)
 
 
-def load_profile(path: str | Path, schema: str) -> tuple[Run, ...]:
+def load_profile(path: str | Path, schema: str, spark: SparkSession | None = None) -> tuple[Run, ...]:
     """The runs of a profile, each validated; their window defaults to 33 whatever the resolution."""
-    data, _ = _head(Path(path), schema)
+    data, _ = _head(path, schema, spark)
     rows = data.get("runs", [])
     if not 1 <= len(rows) <= MAX_RUNS:
         raise ResourceLimit(f"a profile has 1 to {MAX_RUNS} runs", runs=len(rows))
@@ -96,9 +98,38 @@ def load_profile(path: str | Path, schema: str) -> tuple[Run, ...]:
     return tuple(out)
 
 
+def load_pages(spark: SparkSession, dataset: Dataset) -> DataFrame:
+    """Pages of a dataset with pixels, truth and regions; ``page_id`` is the place in the manifest.
+
+    The manifest (``MAX_PAGES`` rows at most) is broadcast to the files; what is joined then are the
+    two rasters of each page. Sizes and regions that don't fit stop the query.
+    """
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+:)?/+", "/")  # noqa: E731  a file's path is spelt in several ways
+    where = lambda c: plain(F.concat(F.lit(f"{dataset.root}/"), c))
+    own = dataset.frame(spark).select(F.col("pos").cast("long").alias("page_id"), F.col("page_id").alias("page_name"), "category", "rois", where(F.col("input")).alias("input"), where(F.col("ground_truth")).alias("ground_truth"))
+
+    def files(key: str) -> DataFrame:
+        paths = sorted({f"{dataset.root}/{p[key]}" for p in dataset.pages})
+        return spark.read.format("binaryFile").load(paths).select(plain(F.col("path")).alias(key), "content")
+
+    named = F.broadcast(own.select("page_id", "page_name", "category", "rois", "input"))
+    gray = rasters.decoded(files("input").join(named, "input").drop("input"), "pixels")
+    listed = F.broadcast(own.select("page_id", "ground_truth"))
+    truth = rasters.decoded(files("ground_truth").join(listed, "ground_truth").drop("ground_truth"), "truth", dataset.head.get("ground_truth_polarity", "black_is_zero"))
+    both = gray.join(truth.select("page_id", "truth", F.col("width").alias("tw"), F.col("height").alias("th")), "page_id")
+    fits = (F.col("width") == F.col("tw")) & (F.col("height") == F.col("th"))
+    outside = F.exists("rois", lambda r: _outside(r, F.col("width"), F.col("height")))
+    problem = F.when(~fits, F.lit("ground truth has another size than its page")).when(outside, F.lit("a region leaves its page"))
+    sound = F.when(problem.isNotNull(), F.raise_error(F.concat(problem, F.lit(": "), F.col("page_name"))).cast("binary")).otherwise(F.col("pixels"))
+    return both.select("page_id", "page_name", "category", "width", "height", sound.alias("pixels"), "truth", "rois")
+
+
+def _outside(r: Column, width: Column, height: Column) -> Column:
+    end = lambda a, n: r[a].cast("long") + r[n].cast("long")
+    return (r["width"] < 1) | (r["height"] < 1) | (r["x"] < 0) | (r["y"] < 0) | (end("x", "width") > width) | (end("y", "height") > height)
+
+
 def check_rois(pages: DataFrame) -> DataFrame:
     """Regions that are empty or leave their page, of pages with ``width`` and ``height``."""
     r = pages.select("page_id", "width", "height", F.explode("rois").alias("r"))
-    end = lambda a, n: F.col(f"r.{a}").cast("long") + F.col(f"r.{n}").cast("long")
-    bad = (F.col("r.width") < 1) | (F.col("r.height") < 1) | (F.col("r.x") < 0) | (F.col("r.y") < 0) | (end("x", "width") > F.col("width")) | (end("y", "height") > F.col("height"))
-    return r.where(bad).select("page_id", "r.roi_id")
+    return r.where(_outside(F.col("r"), F.col("width"), F.col("height"))).select("page_id", "r.roi_id")

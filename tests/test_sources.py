@@ -3,9 +3,9 @@
 import numpy as np
 import pytest
 
-from lumenfold.model import InputError, ResourceLimit
+from lumenfold.model import InputError, ResourceLimit, UnsupportedInput
 from lumenfold.plans import benchmark, report_queries
-from lumenfold.sources import fixtures, manifests, rasters
+from lumenfold.sources import fixtures, manifests, rasters, suite
 
 HEAD = 'schema = "d"\nschema_version = "1.0"\nid = "x"\ntitle = "t"\nlicense = "l"\nprovenance = "p"\nground_truth_method = "g"\n'
 PAGE = '[[pages]]\nid = "{0}"\ninput = "{1}"\nground_truth = "g.png"\ncategory = "c"\n'
@@ -16,7 +16,7 @@ def test_dataset_manifest(tmp_path, spark):
     f.write_text(HEAD + PAGE.format("a", "i/a.png") + PAGE.format("b", "b.png"))
     d = manifests.load_dataset(f, "d")
     assert [r.page_id for r in d.frame(spark).orderBy("pos").collect()] == ["a", "b"]
-    for body, error in ((PAGE.format("a", "../x.png"), InputError), (PAGE.format("a", "x") * 2, InputError), ("", ResourceLimit)):
+    for body, error in ((PAGE.format("a", "../x.png"), InputError), (PAGE.format("a", "x.png") * 2, InputError), ("", ResourceLimit)):
         f.write_text(HEAD + body)
         with pytest.raises(error):
             manifests.load_dataset(f, "d")
@@ -43,6 +43,66 @@ def test_png_round_trip_and_image_source(tmp_path, spark):
     assert rasters.truth_mask(np.array([[0, 255]], np.uint8), "black_is_255").tolist() == [[False, True]]
 
 
+def test_pngs_of_all_kinds():
+    import struct
+    import zlib
+
+    r = np.random.default_rng(5)
+
+    def png(samples, depth, colour, filters=None, plte=b""):
+        h, w, n = samples.shape
+        body = samples.astype(">u2").tobytes() if depth == 16 else samples.astype(np.uint8).tobytes() if depth == 8 else np.packbits(np.unpackbits(samples.astype(np.uint8)[:, :, 0, None], axis=2)[:, :, -depth:].reshape(h, -1), axis=1).tobytes()
+        rows = np.frombuffer(body, np.uint8).reshape(h, -1)
+        step, out = max(1, n * depth // 8), bytearray()
+        for y in range(h):
+            kind = filters[y % len(filters)] if filters else 0
+            line, up = rows[y].astype(int), rows[y - 1].astype(int) if y else np.zeros(rows.shape[1], int)
+            left, corner = (np.r_[np.zeros(step, int), x[:-step]] for x in (line, up))
+            p = left + up - corner
+            paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+            out += bytes([kind]) + ((line - (0, left, up, (left + up) // 2, paeth)[kind]) % 256).astype(np.uint8).tobytes()
+        chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, 0)) + (chunk(b"PLTE", plte) if plte else b"") + chunk(b"IDAT", zlib.compress(bytes(out))) + chunk(b"IEND", b"")
+
+    gray = r.integers(0, 256, (11, 7, 1))
+    for filters in (None, (0, 1, 2, 3, 4)):
+        assert (rasters.decode_png(png(gray, 8, 0, filters)) == gray[:, :, 0]).all()
+        assert (rasters.gray_png(png(gray, 8, 0, filters)) == gray[:, :, 0]).all()
+        assert (rasters.decode_png(png(gray * 257, 16, 0, filters)) == gray[:, :, 0]).all()
+        assert (rasters.decode_png(png(np.concatenate([gray, gray], 2), 8, 4, filters)) == gray[:, :, 0]).all()
+        assert (rasters.decode_png(png(np.repeat(gray, 3, 2), 8, 2, filters)) == gray[:, :, 0]).all()
+    assert (rasters.decode_png(png(gray % 2, 1, 0)) == gray[:, :, 0] % 2 * 255).all()
+    assert (rasters.decode_png(png(gray % 4, 8, 3, plte=bytes([v for k in range(4) for v in (k * 50,) * 3]))) == gray[:, :, 0] % 4 * 50).all()
+    with pytest.raises(InputError):
+        rasters.gray_png(png(np.concatenate([gray, gray], 2), 8, 4))
+    for w, h in ((20_001, 1), (20_000, 10_001)):
+        with pytest.raises(ResourceLimit):
+            rasters.decode_png(b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", w, h, 8, 0, 0, 0, 0) + bytes(4))
+    for bad in (b"", b"\x89PNG\r\n\x1a\n", png(gray, 8, 0)[:60]):
+        with pytest.raises(InputError):
+            rasters.decode_png(bad)
+
+
+def test_benchmark_from_files(tmp_path, spark):
+    dataset, profile = suite.write_suite(spark, str(tmp_path))
+    rows = benchmark.validate(spark, dataset, profile).collect()
+    assert len(rows) == 12 and all((r.width, r.height, r.pixels) == (160, 200, 32_000) for r in rows)
+    assert sorted(r.page_name for r in rows) == sorted(p.page_id for p in fixtures.pages())
+    results = benchmark.from_manifests(spark, dataset, profile)
+    got = {r.run_id: r for r in benchmark.run_report(results).collect()}
+    assert got["otsu-300"].encoded_bytes == 11568 and got["sauvola-300-default"].encoded_bytes == 11551 and got["manual-300-128"].encoded_bytes == 10989
+    assert {round(r.macro_f1, 4) for r in got.values()} == {0.9949, 0.9934, 0.9115}
+    tags = {(r.run_id, r.tag): (r.page_count, r.macro_f1) for r in benchmark.roi_report(results).collect()}
+    assert tags["otsu-300", "diacritic"] == (63, 1.0) and tags["otsu-300", "apparatus"] == (9, 1.0)
+    text = (tmp_path / "dataset.toml").read_text()
+    suite.put(spark, dataset, text.replace("width = ", "width = 9", 1).encode())
+    with pytest.raises(Exception, match="a region leaves its page"):
+        benchmark.validate(spark, dataset, profile).collect()
+    suite.put(spark, dataset, text.replace(".png", ".jpg", 1).encode())
+    with pytest.raises(UnsupportedInput):
+        benchmark.validate(spark, dataset, profile)
+
+
 def test_fixture_ink():
     ink = {p.page_id: int(p.truth.sum()) for p in fixtures.pages()}
     assert (ink["clean_text"], ink["broken_strokes"], ink["dense_apparatus_density"], ink["synthetic_diacritic_detail"]) == (8400, 8200, 6312, 4144)
