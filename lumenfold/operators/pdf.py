@@ -7,6 +7,7 @@ the image over the whole page, and the image. Nothing in it depends on time or p
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -77,18 +78,40 @@ def container_overhead() -> tuple[int, int]:
     return one - len(page[4]) - each, each
 
 
+STAGES = ("prepare_us", "binarize_us", "encode_us")
+DOCUMENT = "doc_id long, pages int, pdf binary, output_bytes long, total_pixels long, black_pixels long, coded_bytes long, largest_page int, slowest_page int, " + ", ".join(f"{k} long" for k in STAGES) + ", median_page_us double"
+
+
 def documents(masks: DataFrame, dpi: int = 300) -> DataFrame:
-    """One PDF for each ``doc_id`` of ``(doc_id, page_index, width, height, packed)`` in page order."""
+    """One PDF for each ``doc_id`` of ``(doc_id, page_index, width, height, packed)`` in page order, and its totals.
+
+    Page sizes are ``width_points`` and ``height_points`` where given, else the pixels at ``dpi``. Stage
+    timings of pages (``prepare_us``, ``binarize_us``) are summed where given; coding is timed here.
+    """
     from .kernels import unpack_bits
 
+    columns = [c for c in ("doc_id", "page_index", "width", "height", "packed", "width_points", "height_points", "black_pixels", *STAGES[:2]) if c in masks.columns]
+
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["page_index"])
-        pages = [(r["width"], r["height"], r["width"] * 72 / dpi, r["height"] * 72 / dpi, g4.encode(unpack_bits(r["packed"], r["width"], r["height"]))) for r in rows]
+        pages, spent, coded = [], [], []
+        for r in rows:
+            begin = time.perf_counter_ns()
+            data = g4.encode(unpack_bits(r["packed"], r["width"], r["height"]))
+            spent.append([r.get(k) or 0 for k in STAGES[:2]] + [(time.perf_counter_ns() - begin) // 1000])
+            size = [r.get(k + "_points") or r[k] * 72 / dpi for k in ("width", "height")]
+            pages.append((r["width"], r["height"], *size, data))
+            coded.append((len(data), r["page_index"]))
         data = build(pages)
         check(data, [p[2:4] for p in pages])
-        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "pages": pa.array([len(rows)], pa.int32()), "pdf": pa.array([data], pa.binary())})
-
-    return masks.select("doc_id", "page_index", "width", "height", "packed").groupBy("doc_id").applyInArrow(run, "doc_id long, pages int, pdf binary")
+        total = [sum(x) for x in spent]
+        slowest = max(zip(total, [r["page_index"] for r in rows], strict=True))[1]
+        stages = [sum(x[k] for x in spent) for k in range(3)]
+        row = (rows[0]["doc_id"], len(rows), data, len(data), sum(p[0] * p[1] for p in pages), sum(r.get("black_pixels") or 0 for r in rows), sum(n for n, _ in coded), max(coded)[1], slowest, *stages, float(np.median(total)))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table({f.split()[0]: pa.array([v], k) for f, v, k in zip(DOCUMENT.split(", "), row, kinds, strict=True)})
+
+    return masks.select(*columns).groupBy("doc_id").applyInArrow(run, DOCUMENT)
 
 
 def structures(pdfs: DataFrame) -> DataFrame:

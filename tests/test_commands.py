@@ -30,6 +30,23 @@ def test_process_and_preview(docs):
     assert (rasters.gray_png(commands.preview(df, Run("otsu"), 1, 3)) == np.where(gray <= 128, 0, 255)).all()
 
 
+def test_page_sizes_and_report(docs, spark):
+    from pyspark.sql import functions as F
+
+    _, df = docs
+    sized = df.where("page_index < 3").withColumns({"width_points": F.lit(612.0), "height_points": F.lit(792.0), "rotation": F.when(F.col("page_index") == 1, -90).otherwise(0)})
+    made = commands.process(sized, Run("otsu")).cache()
+    assert pdf.structure(bytes(made.first().pdf))["sizes"] == [(612.0, 792.0), (792.0, 612.0), (612.0, 792.0)]
+    sizes = spark.createDataFrame([(1, 100_000), (2, 10)], "doc_id long, input_bytes long")
+    rows = {r.doc_id: r for r in commands.process_report(made, Run("otsu"), sizes, commands.estimate(sized, Run("otsu"), 8)).collect()}
+    for r in rows.values():
+        assert r.pages == 3 and r.total_pixels == 3 * 1200 and 0 < r.black_pixels < r.total_pixels and r.bytes_per_page == r.output_bytes / 3
+        assert r.encode_us > 0 and r.median_page_us > 0 and r.largest_page in (0, 1, 2) and r.slowest_page in (0, 1, 2)
+        assert r.relative_error_fraction < 0.05 and r.fingerprint == Run("otsu").fingerprint()
+    assert rows[1].absolute_bytes_saved == 100_000 - rows[1].output_bytes and 0 < rows[1].reduction_percent < 100
+    assert rows[2].absolute_bytes_saved == 0 and rows[2].reduction_percent < 0
+
+
 def test_analyze_counts_failed_pages(docs, spark):
     _, df = docs
     bad = df.union(spark.createDataFrame([(1, 99, 40, 30, bytearray(b"x"))], SCHEMA))
