@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._scratch import drop, written, written_path
 from ._skew import SAMPLE, SEEN, heavy, only, share
-from ._words import mix, rolling, slices, words
+from ._words import mix, releasing, rolling, slices, words
 
 SKETCH = 16  # words of 64 cells
 EXACT = 4  # fragments in which overlaps of candidate pairs are counted
@@ -198,7 +198,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 both = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(np.array(size, np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), _lists(sketch), _lists(fine)], ["doc_id", "n", "d1", "d2", "sketch", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch array<bigint>, fine array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, n long, d1 long, d2 long, sketch array<bigint>, fine array<bigint>")
 
 
 def fragments(docs: DataFrame, n: int, num: int, den: int, common: Common | None, copied: dict[tuple[int, int], int]) -> DataFrame:
@@ -223,7 +223,7 @@ def fragments(docs: DataFrame, n: int, num: int, den: int, common: Common | None
                     leaders = pa.array((common or NONE).leaders[hot] if len((common or NONE).keys) else np.zeros(len(flat), np.int64), mask=hot < 0)
                     yield pa.record_batch([pa.array(np.repeat(np.array(names, np.int64), [len(k) for k in keys])), pa.array(flat.view(np.int64)), leaders], ["rep", "key", "leader"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "rep long, key long, leader long")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(releasing(run), "rep long, key long, leader long")
 
 
 def exploded_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -246,7 +246,7 @@ def exploded_sets(docs: DataFrame, n: int) -> DataFrame:
                     grams = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(rows[4])))
                     yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(np.array(rows[1], np.uint64).view(np.int64)), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), grams], ["id", "v", "n", "frag", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, v long, n long, frag int, grams array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "id long, v long, n long, frag int, grams array<bigint>")
 
 
 def common_fragments(docs: DataFrame, sig: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> Common:

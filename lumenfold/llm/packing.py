@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ._scratch import written
 from ._tokens import encoded
+from ._words import releasing
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -59,7 +60,7 @@ def to_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 2) -
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), PIECES)
 
 
 def price_fill(prices: np.ndarray, lens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._words import rolling, slices, words
+from ._words import releasing, rolling, slices, words
 
 CLASSES = 12
 _CLASS = np.full(256, 11, np.int64)  # other ASCII signs
@@ -105,7 +105,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
             for _, _, x in batches_of_features(b.column(0)):
                 yield pa.record_batch([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))], ["x"])
 
-    return docs.select("text").mapInArrow(run, "x array<float>")
+    return docs.select("text").mapInArrow(releasing(run), "x array<float>")
 
 
 @dataclass
@@ -202,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Mode
                 yield pa.record_batch([*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "h", "trusted", "web")), pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.ravel()))], ["doc_id", "h", "trusted", "web", "x"])
 
     rows = taken.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("trusted", F.lit(False)).alias("trusted"), "web", "text")
-    table = rows.mapInArrow(run, "doc_id long, h long, trusted boolean, web boolean, x array<float>").toArrow()
+    table = rows.mapInArrow(releasing(run), "doc_id long, h long, trusted boolean, web boolean, x array<float>").toArrow()
     if not table.num_rows:
         return nothing
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3, keep: tuple[str, ...]
                 s = model.scores(x)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= cut).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-    return rows.mapInArrow(run, schema + ", score double, predicted int")
+    return rows.mapInArrow(releasing(run), schema + ", score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample_rows: int = 20_000) -> DataFrame:

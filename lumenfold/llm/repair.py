@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from ._scratch import _made, shared_dir
 from ._tokens import encoded, ragged
+from ._words import releasing
 
 MAGIC = b"RPS1"
 SYMBOLS = 1 << 16
@@ -213,7 +214,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, sh
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows.mapInArrow(run, SHARDS).write.parquet(path)
+    rows.mapInArrow(releasing(run), SHARDS).write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -235,7 +236,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 starts = firsts[row["part"]] + row["first_id"] + np.cumsum(n) - n
                 yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(n), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(releasing(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
