@@ -15,8 +15,12 @@ from pyspark.sql import SparkSession
 _attached: set[str] = set()
 
 
+#: Rows of an Arrow batch where the session leaves Spark's own number: texts and pages are rows of some KB.
+BATCH_ROWS = "2000"
+
+
 def attach(spark: SparkSession) -> SparkSession:
-    """Ship the package's sources to the workers of this session (once per application)."""
+    """Ship the package's sources to the workers of this session (once per application), and bound Arrow batches."""
     sc = spark.sparkContext
     if sc.applicationId not in _attached:
         root = Path(__file__).resolve().parent
@@ -26,4 +30,7 @@ def attach(spark: SparkSession) -> SparkSession:
                 z.write(p, str(p.relative_to(root.parent)))
         sc.addPyFile(str(target))
         _attached.add(sc.applicationId)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's own number
+        spark.conf.set(key, BATCH_ROWS)
     return spark
