@@ -34,6 +34,16 @@ def sanitized(text: Column) -> Column:
     return F.when(clean != "", clean)
 
 
+def same_source(a: Column, b: Column) -> Column:
+    """Identities ``(path, length, sha256)`` are of one content: lengths are equal, then hashes, or paths where a hash wasn't taken.
+
+    False where what decides is null.
+    """
+    hashed = a["sha256"].isNotNull() & b["sha256"].isNotNull()
+    named = F.when(hashed, a["sha256"] == b["sha256"]).otherwise(a["path"] == b["path"])
+    return F.coalesce((a["length"] == b["length"]) & named, F.lit(False))
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -142,6 +142,16 @@ def source_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(copies, ["length", "sha256"]).select("doc_id", "length", "sha256", "first_doc", "copies")
 
 
+def source_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document beside the first of its length: one content or not. Hashes are taken of English texts only, sources stand for paths."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    length = F.octet_length("text").cast("long")
+    identity = F.struct(F.col("source").alias("path"), length.alias("length"), F.when(F.col("lang") == "en", F.sha2("text", 256)).alias("sha256"))
+    ids = rows.select("doc_id", length.alias("length"), identity.alias("own"))
+    first = ids.groupBy("length").agg(F.min("doc_id").alias("first_doc"), F.min_by("own", "doc_id").alias("other"))
+    return ids.join(first, "length").select("doc_id", "length", "first_doc", R.same_source(F.col("own"), F.col("other")).alias("same"))
+
+
 def benchmark_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published comparison over the synthetic suite, rounded as it is published."""
     return _published(benchmark.golden(attach(spark)))
@@ -210,7 +220,7 @@ def pdf_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         page_pixel_size, rotation_normalize, page_selection, sample_pages, bytes_per_pixel_quartiles, size_estimate, estimate_comparison, page_outliers, process_totals,
-        extreme_pages, duration_stats, metadata_sanitize, source_digests, benchmark_golden, benchmark_manifest, golden_rois, g4_roundtrip, pdf_structure,
+        extreme_pages, duration_stats, metadata_sanitize, source_digests, source_identity, benchmark_golden, benchmark_manifest, golden_rois, g4_roundtrip, pdf_structure,
     )
     return {f.__name__: f for f in found}
 
@@ -262,4 +272,8 @@ def oracle_sql() -> dict[str, str]:
         "duration_stats": "SELECT user_id, count(us) AS pages, min(us) AS least, max(us) AS most, avg(us) AS mean, quantile_cont(us::DOUBLE, 0.5) AS median FROM (SELECT user_id, floor(value * 1000)::BIGINT AS us FROM events) GROUP BY user_id",
         "metadata_sanitize": r"""SELECT page_id, nullif(substring(regexp_replace(regexp_replace(html, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 512), '') AS title, CAST(NULL AS VARCHAR) AS nothing, string_split(url, '/')[-1] AS name FROM pages""",
         "source_digests": "SELECT doc_id, strlen(text)::BIGINT AS length, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY text) AS first_doc, count(*) OVER (PARTITION BY text) AS copies FROM documents",
+        "source_identity": """WITH d AS (SELECT doc_id, source, strlen(text)::BIGINT AS length, CASE WHEN lang = 'en' THEN sha256(text) END AS sha256 FROM documents),
+f AS (SELECT length, min(doc_id) AS first_doc FROM d GROUP BY length)
+SELECT d.doc_id, length, first_doc, coalesce(CASE WHEN d.sha256 IS NULL OR o.sha256 IS NULL THEN d.source = o.source ELSE d.sha256 = o.sha256 END, false) AS same
+FROM d JOIN f USING (length) JOIN d o USING (length) WHERE o.doc_id = first_doc""",
     }

@@ -159,3 +159,21 @@ def test_selection_and_samples(spark):
     assert [list(r.i) for r in rows] == [[0, 14, 28, 42, 57, 71, 85, 99], [0, 1, 2, 3, 4], [0], []]
     px = spark.createDataFrame([(612.0, 792.0)], "w double, h double").select(R.page_pixels(F.col("w"), F.col("h"), 300).alias("p")).first().p
     assert (px.width_px, px.height_px) == (2550, 3300)
+
+
+def test_same_source(spark):
+    from pyspark.sql import functions as F
+
+    cases = [
+        (("a", 3, "x"), ("b", 3, "x"), True),
+        (("a", 3, "x"), ("a", 3, "y"), False),
+        (("a", 3, "x"), ("a", 4, "x"), False),
+        (("a", 3, None), ("a", 3, "x"), True),
+        (("a", 3, "x"), ("b", 3, None), False),
+        (("a", 3, None), ("a", 3, None), True),
+        ((None, 3, None), (None, 3, None), False),
+        (("a", None, "x"), ("a", None, "x"), False),
+    ]
+    kind = "struct<path:string,length:long,sha256:string>"
+    rows = spark.createDataFrame(cases, f"a {kind}, b {kind}, want boolean")
+    assert rows.where(R.same_source(F.col("a"), F.col("b")) != F.col("want")).count() == 0
